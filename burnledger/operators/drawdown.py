@@ -31,7 +31,7 @@ def cumulative_spend(contracts: DataFrame, daily: DataFrame, start: Column | dt.
             .select(CONTRACT, DAY, zero().cast(_SUM).alias("spend"), F.lit(True).alias("__grid")))
     spend = daily.select(CONTRACT, DAY, F.col("spend").cast(_SUM).alias("spend"),
                          F.lit(False).alias("__grid"))
-    filled = (spend.unionByName(grid).groupBy(CONTRACT, DAY)
+    filled = (grid.unionByName(spend).groupBy(CONTRACT, DAY)
               .agg(F.sum("spend").cast(_SUM).alias("daily_total"), F.max("__grid").alias("__grid"))
               .filter("__grid").drop("__grid"))
     return running_total(filled, [CONTRACT], "daily_total", DAY, "cum_spend").select(

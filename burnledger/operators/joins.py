@@ -26,7 +26,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     limit = broadcast_limit(df)
     try:
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= limit
+        return int(str(size)) <= limit
     except AttributeError:  # no access to the plan, e.g. on a remote session
         return False
 

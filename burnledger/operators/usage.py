@@ -17,14 +17,14 @@ def spend_by(usage: DataFrame, *keys: str | Column) -> DataFrame:
                                     F.sum("usage").alias("credits"))
 
 
-def daily_cube(usage: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def daily_cube(usage: DataFrame) -> DataFrame:
     """Spend and credits per contract and day: the one pass over the usage table.
 
     Totals, burn rates, cumulative curves and balances all start here, so that
     a report that needs several of them shuffles the usage table once. A group
     has one row per contract and day, however many usage rows a customer has.
     """
-    return spend_by(usage, *(extra or []), *DAILY_KEYS)
+    return spend_by(usage, *DAILY_KEYS)
 
 
 def daily_spend(usage: DataFrame, contract: str | None = None) -> DataFrame:

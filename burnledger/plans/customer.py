@@ -8,7 +8,7 @@ one consumer; the filter reaches the account mapping and the scans.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +38,33 @@ SUBSCRIPTION_LABELS = {
 }
 
 
-@dataclass(frozen=True)
 class PublishedTables:
-    contract_items: DataFrame
-    usage: DataFrame
-    balances: DataFrame
-    rate_sheet: DataFrame
+    """The four published tables, each built when first used."""
 
-    @classmethod
-    def build(cls, src: Billing, as_of: dt.datetime) -> PublishedTables:
-        return cls(shared.published_contract_items(src, as_of), shared.published_usage(src),
-                   shared.published_balance(src), shared.published_rate_sheet(src))
+    def __init__(self, src: Billing, as_of: dt.datetime, consumer: str | None = None):
+        self.src, self.as_of, self.consumer = src, as_of, consumer
 
     def of(self, consumer: str) -> PublishedTables:
-        own = F.col(CONSUMER) == F.lit(consumer)
-        return PublishedTables(self.contract_items.filter(own), self.usage.filter(own),
-                               self.balances.filter(own), self.rate_sheet.filter(own))
+        return PublishedTables(self.src, self.as_of, consumer)
+
+    def _narrow(self, df: DataFrame) -> DataFrame:
+        return df if self.consumer is None else df.filter(F.col(CONSUMER) == F.lit(self.consumer))
+
+    @cached_property
+    def contract_items(self) -> DataFrame:
+        return self._narrow(shared.published_contract_items(self.src, self.as_of))
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return self._narrow(shared.published_usage(self.src))
+
+    @cached_property
+    def balances(self) -> DataFrame:
+        return self._narrow(shared.published_balance(self.src))
+
+    @cached_property
+    def rate_sheet(self) -> DataFrame:
+        return self._narrow(shared.published_rate_sheet(self.src))
 
 
 def money(value: Column) -> Column:
@@ -123,7 +134,7 @@ def overview(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
         col("free_left").cast(DecimalType(38, 2)).alias("free_left"),
         col("rollover").cast(DecimalType(38, 2)).alias("rollover"),
         col("funds").cast(DecimalType(38, 2)).alias("funds"), "updated_on",
-        F.round("burn", 6).alias("burn"),
+        F.round("burn", 4).alias("burn"),
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label", "depleted", "days_to_depletion", "depletion_date",
         "depletion_label", "depletes_before_expiry", "urgency")
@@ -137,7 +148,7 @@ def summary_bar(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
     col = F.col
     names = ("entitlement", "capacity", "free_usage", "rollover", "consumed", "overage")
     return _assessed(tables, as_of).select(
-        CONSUMER, *[money(col(name)).alias(name) for name in names], F.round("burn", 6).alias("burn"))
+        CONSUMER, *[money(col(name)).alias(name) for name in names], F.round("burn", 4).alias("burn"))
 
 
 def usage_vs_entitlement(tables: PublishedTables, as_of: dt.datetime, period: str = "All") -> DataFrame:

@@ -65,8 +65,10 @@ def active_markups(src: Billing, as_of: dt.datetime) -> DataFrame:
 def portfolio_kpis(src: Billing, as_of: dt.datetime) -> DataFrame:
     """One row: counts, totals, remaining funds, overage, markup revenue, risk."""
     clock, col = Clock(as_of), F.col
-    cube = daily_cube(src.usage, ["account_name"])
-    sold = cube.agg(F.count_distinct(CUSTOMER).alias("n_customers"),
+    # Two passes over usage: totals per account, and the daily cube that margins,
+    # burn and (for contracts sized by spend) balances share.
+    cube = daily_cube(src.usage)
+    sold = spend_by(src.usage, CUSTOMER, "account_name").agg(F.count_distinct(CUSTOMER).alias("n_customers"),
                     F.count_distinct("account_name").alias("n_accounts"),
                     F.sum("spend").alias("consumption"), F.sum("credits").alias("credits"))
     granted = entitlements(src.contract_items, [CONTRACT]).agg(
@@ -185,7 +187,7 @@ def deep_dive(src: Billing, as_of: dt.datetime) -> DataFrame:
         col("free_left").cast(DecimalType(38, 2)).alias("free_left"),
         col("rollover").cast(DecimalType(38, 2)).alias("rollover"),
         col("funds").cast(DecimalType(38, 2)).alias("funds"),
-        F.round("burn", 6).alias("burn"),
+        F.round("burn", 4).alias("burn"),
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label",
         "depleted", "days_to_depletion", "depletion_date", "depletion_label",
@@ -210,7 +212,7 @@ def dual_view(src: Billing, as_of: dt.datetime) -> DataFrame:
     by = col("__v.by")
     return rows.select(CUSTOMER, col("__v.view").alias("view"),
                        *[money(col(name) * by).alias(name) for name in amounts],
-                       F.round(col("burn") * by.cast("double"), 6).alias("burn"))
+                       F.round(col("burn") * by.cast("double"), 4).alias("burn"))
 
 
 def cumulative_series(src: Billing) -> DataFrame:

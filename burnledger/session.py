@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Python call sites of every column expression; costs most of the plan building time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

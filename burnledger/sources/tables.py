@@ -26,7 +26,8 @@ class Billing(Protocol):
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Columns of ``schema`` by name, cast to the declared types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.selectExpr(*[f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`"
+                           for f in schema.fields])
 
 
 def normalise_dates(df: DataFrame) -> DataFrame:
