@@ -8,7 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from burnledger.sources.schemas import ORG, TABLES
 
@@ -149,7 +149,7 @@ def save_snapshot(df: DataFrame, root: str, version: int) -> None:
 
 def latest_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The newest version. The version is a partition column: older files are not read."""
-    typed = StructType(schema.fields).add("version", "int")
+    typed = StructType([*schema.fields, StructField("version", IntegerType())])
     versions = spark.read.schema(typed).parquet(root)
     newest = versions.agg(F.max("version").alias("v"))
     return versions.filter(F.col("version") == newest.scalar()).select(*schema.names)
