@@ -47,6 +47,15 @@ def onboard(mapping: DataFrame, rates: DataFrame, org: str, name: str, consumer:
     return add_consumers(mapping, who, now), add_rates(rates, rate, now)
 
 
+def _close(rates: DataFrame, start: Column, now: dt.datetime) -> DataFrame:
+    """End the open active rates on the day before ``start``; a NULL start leaves a row alone."""
+    closes = start.isNotNull() & F.col("is_active") & F.col("effective_to").isNull()
+    return rates.withColumns({
+        "effective_to": F.when(closes, F.date_sub(start, 1)).otherwise(F.col("effective_to")),
+        "updated_at": F.when(closes, _stamp(now)).otherwise(F.col("updated_at")),
+    })
+
+
 def change_rate_rows(rates: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:
     """Close the open active rates on the day before each change and append the new ones.
 
@@ -56,18 +65,15 @@ def change_rate_rows(rates: DataFrame, changes: DataFrame, now: dt.datetime) ->
     starts = changes.select(F.col(ORG).alias("__change_org"), F.col("effective_from").alias("__start"))
     joined = lookup_join(rates.select(*MARKUP_RATES.names), starts, {ORG: "__change_org"}, "left",
                          salt_by=["effective_from"])
-    closes = (F.col("__start").isNotNull() & F.col("is_active") & F.col("effective_to").isNull())
-    closed = joined.withColumns({
-        "effective_to": F.when(closes, F.date_sub(F.col("__start"), 1)).otherwise(F.col("effective_to")),
-        "updated_at": F.when(closes, _stamp(now)).otherwise(F.col("updated_at")),
-    }).drop("__start")
-    return add_rates(closed, changes, now)
+    return add_rates(_close(joined, F.col("__start"), now).drop("__start"), changes, now)
 
 
 def change_rate(rates: DataFrame, org: str, pct: Decimal, effective_from: dt.date,
                 now: dt.datetime) -> DataFrame:
+    """The same for one organisation, without a join."""
+    start = F.when(F.col(ORG) == F.lit(org), F.lit(effective_from))
     change = one_row(rates, **{ORG: org, "markup_pct": pct, "effective_from": effective_from})
-    return change_rate_rows(rates, change, now)
+    return add_rates(_close(rates.select(*MARKUP_RATES.names), start, now), change, now)
 
 
 def deactivate(mapping: DataFrame, org: str, now: dt.datetime) -> DataFrame:

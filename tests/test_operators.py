@@ -247,6 +247,10 @@ def test_change_rate_closes_the_open_row_only(spark):
         ("W", DAY(2025, 5, 1), DAY(2025, 6, 30), D("0.0300"), True),
         ("W", DAY(2025, 7, 1), None, D("0.0400"), True),
         ("X", DAY(2025, 5, 1), None, D("0.0200"), True)]
+    changes = spark.createDataFrame([("W", D("0.04"), DAY(2025, 7, 1))],
+                                    "sold_to_organization_name string, markup_pct decimal(5,4), effective_from date")
+    batch = config.change_rate_rows(before, changes, NOW)
+    assert sorted(map(str, batch.collect())) == sorted(map(str, after.collect()))
     # Prices of earlier days do not move.
     rows = usage_rows(spark, [("W", DAY(2025, 6, 30), "10"), ("W", DAY(2025, 7, 1), "10")])
     out = markup.apply_markup(rows, after, {"usage_in_currency": 6}, "usage_date")
