@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
-_SALT = "__salt"
+SALT = "__salt"
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -33,33 +35,32 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def lookup_join(fact: DataFrame, lookup: DataFrame, on: dict[str, str], how: str = "inner",
                 condition: Callable[[DataFrame, DataFrame], Column] | None = None,
-                salt_by: list[str] | None = None) -> DataFrame:
+                salt_by: list[str] | None = None, keep_salt: bool = False) -> DataFrame:
     """Equi-join ``fact`` with ``lookup`` (keys ``{fact column: lookup column}``).
 
     A lookup within the broadcast threshold is left to Catalyst, which then
     broadcasts it: the fact is not shuffled. A larger lookup is copied once per
     salt and both sides are hashed on key and salt, so that one key holding a
     large part of the fact is spread over ``SALTS`` tasks. The salt is a hash
-    of ``salt_by`` columns: a recomputed task assigns the same one. The lookup
-    columns used as keys are dropped from the result.
+    of ``salt_by`` columns: a recomputed task assigns the same one. With
+    ``keep_salt`` the salt stays in the result, and a next lookup on the same
+    key finds the fact already in place. The lookup columns used as keys are
+    dropped.
     """
-    keys = [fact[left] == lookup[right] for left, right in on.items()]
-    extra = [] if condition is None else [condition(fact, lookup)]
-    drop = list(on.values())
+    keys, drop = dict(on), list(on.values())
     if salt_by and not fits_broadcast(lookup):
-        fact = fact.withColumn(_SALT, F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
+        if SALT not in fact.columns:
+            fact = fact.withColumn(SALT, F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
         lookup = lookup.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys = [fact[left] == lookup[right] for left, right in on.items()]
-        keys.append(fact[_SALT] == lookup["__copy"])
-        extra = [] if condition is None else [condition(fact, lookup)]
-        drop += ["__copy"]
-    predicate = keys[0]
-    for term in keys[1:] + extra:
-        predicate = predicate & term
-    joined = fact.join(lookup, predicate, how)
+        keys[SALT] = "__copy"
+        drop.append("__copy")
+    terms = [fact[left] == lookup[right] for left, right in keys.items()]
+    if condition is not None:
+        terms.append(condition(fact, lookup))
+    joined = fact.join(lookup, reduce(and_, terms), how)
     if how not in ("left_semi", "left_anti"):
         joined = joined.drop(*drop)
-    return joined.drop(_SALT)
+    return joined if keep_salt else joined.drop(SALT)
 
 
 def fold_rows(first: DataFrame, *others: DataFrame) -> DataFrame:

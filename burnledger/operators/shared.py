@@ -34,10 +34,13 @@ def isolate(df: DataFrame, mapping: DataFrame, consumer: str) -> DataFrame:
 
 
 def per_consumer(df: DataFrame, mapping: DataFrame, salt_by: list[str]) -> DataFrame:
-    """Each row once per consumer that may see it; the locator is added in front."""
+    """Each row once per consumer that may see it; the locator is added in front.
+
+    If the join was salted, the salt stays for the markup lookup that follows.
+    """
     pairs = active(mapping).select(F.col(ORG).alias("__map_org"), CONSUMER).distinct()
-    joined = lookup_join(df, pairs, {ORG: "__map_org"}, "inner", salt_by=salt_by)
-    return joined.select(CONSUMER, *df.columns)
+    joined = lookup_join(df, pairs, {ORG: "__map_org"}, "inner", salt_by=salt_by, keep_salt=True)
+    return joined.select(CONSUMER, *[c for c in joined.columns if c != CONSUMER])
 
 
 Scope = Callable[[DataFrame, list[str]], DataFrame]
