@@ -96,7 +96,7 @@ def reconcile(raw_usage: DataFrame, shared_usage: DataFrame) -> DataFrame:
         F.round("raw_total", 2).cast(DecimalType(38, 2)).alias("raw_total"),
         F.round("shared_total", 2).cast(DecimalType(38, 2)).alias("shared_total"),
         gap.cast(MONEY_SUM).alias("difference"),
-        F.when(gap.isNotNull(), F.round(safe_ratio(gap, F.col("raw_total")), 6)).alias("implied_markup"))
+        F.when(gap.isNotNull(), safe_ratio(gap, F.col("raw_total"))).alias("implied_markup"))
 
 
 def config_gaps(usage: DataFrame, mapping: DataFrame, rates: DataFrame) -> DataFrame:

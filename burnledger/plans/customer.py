@@ -126,15 +126,15 @@ def overview(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
         CONSUMER, CUSTOMER, CONTRACT,
         money(col("consumed")).alias("consumed"),
         col("entitlement").cast(DecimalType(38, 4)).alias("entitlement"),
-        F.round("consumption_pct", 6).alias("consumption_pct"),
+        "consumption_pct",
         money(col("credits")).alias("credits"), "usage_days",
-        F.round("credits_per_day", 6).alias("credits_per_day"),
+        "credits_per_day",
         money(col("overage")).alias("overage"),
         col("remaining").cast(DecimalType(38, 2)).alias("remaining"),
         col("free_left").cast(DecimalType(38, 2)).alias("free_left"),
         col("rollover").cast(DecimalType(38, 2)).alias("rollover"),
         col("funds").cast(DecimalType(38, 2)).alias("funds"), "updated_on",
-        F.round("burn", 4).alias("burn"),
+        "burn",
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label", "depleted", "days_to_depletion", "depletion_date",
         "depletion_label", "depletes_before_expiry", "urgency")
@@ -148,7 +148,7 @@ def summary_bar(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
     col = F.col
     names = ("entitlement", "capacity", "free_usage", "rollover", "consumed", "overage")
     return _assessed(tables, as_of).select(
-        CONSUMER, *[money(col(name)).alias(name) for name in names], F.round("burn", 4).alias("burn"))
+        CONSUMER, *[money(col(name)).alias(name) for name in names], "burn")
 
 
 def usage_vs_entitlement(tables: PublishedTables, as_of: dt.datetime, period: str = "All") -> DataFrame:
@@ -168,7 +168,7 @@ def projection(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
     last = _profile(tables, Clock(as_of))
     return last.select(CONSUMER, "last_usage_date", "last_cumulative", "burn", ahead).select(
         CONSUMER, "day_ahead", F.date_add("last_usage_date", col("day_ahead")).alias("date"),
-        F.round(col("last_cumulative").cast("double") + col("burn") * col("day_ahead"), 2).alias("projected"))
+        (col("last_cumulative").cast("double") + col("burn") * col("day_ahead")).alias("projected"))
 
 
 def breakout(tables: PublishedTables, as_of: dt.datetime, period: str = "All") -> DataFrame:
@@ -223,7 +223,7 @@ def consumption_mix(tables: PublishedTables) -> DataFrame:
     rows = sums.select(CONSUMER, "total", F.explode(F.array(*parts)).alias("__p"))
     share = (F.when(col("total") != 0, col("__p.spend").cast("double") / col("total").cast("double") * 100)
              .otherwise(F.lit(0.0)))
-    return rows.select(CONSUMER, "__p.category", "__p.spend", F.round(share, 6).alias("share_pct"),
+    return rows.select(CONSUMER, "__p.category", "__p.spend", share.alias("share_pct"),
                        "__p.credits")
 
 

@@ -93,12 +93,12 @@ def portfolio_kpis(src: Billing, as_of: dt.datetime) -> DataFrame:
         col("capacity").cast(DecimalType(38, 4)).alias("capacity"),
         col("free_usage").cast(DecimalType(38, 4)).alias("free_usage"),
         col("remaining").cast(DecimalType(38, 2)).alias("remaining"),
-        F.round(percent_of(col("remaining"), col("capacity")), 6).alias("remaining_pct"),
-        F.round(col("remaining").cast("double") * raised, 2).alias("remaining_marked_up"),
+        percent_of(col("remaining"), col("capacity")).alias("remaining_pct"),
+        (col("remaining").cast("double") * raised).alias("remaining_marked_up"),
         col("overage").cast(DecimalType(38, 2)).alias("overage"),
-        F.round(col("overage").cast("double") * raised, 2).alias("overage_marked_up"),
+        (col("overage").cast("double") * raised).alias("overage_marked_up"),
         "n_in_overage",
-        F.round(F.coalesce(col("avg_markup"), F.lit(0.0)) * 100, 6).alias("avg_markup_pct"),
+        (F.coalesce(col("avg_markup"), F.lit(0.0)) * 100).alias("avg_markup_pct"),
         "n_at_risk", "n_expired")
 
 
@@ -177,9 +177,9 @@ def deep_dive(src: Billing, as_of: dt.datetime) -> DataFrame:
         CUSTOMER,
         money(col("consumed")).alias("consumed"),
         col("entitlement").cast(DecimalType(38, 4)).alias("entitlement"),
-        F.round("consumption_pct", 6).alias("consumption_pct"),
+        "consumption_pct",
         money(col("credits")).alias("credits"), "usage_days",
-        F.round("credits_per_day", 6).alias("credits_per_day"),
+        "credits_per_day",
         money(col("overage")).alias("overage"),
         money(col("overage") * raised).alias("overage_marked_up"),
         col("remaining").cast(DecimalType(38, 2)).alias("remaining"),
@@ -187,7 +187,7 @@ def deep_dive(src: Billing, as_of: dt.datetime) -> DataFrame:
         col("free_left").cast(DecimalType(38, 2)).alias("free_left"),
         col("rollover").cast(DecimalType(38, 2)).alias("rollover"),
         col("funds").cast(DecimalType(38, 2)).alias("funds"),
-        F.round("burn", 4).alias("burn"),
+        "burn",
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label",
         "depleted", "days_to_depletion", "depletion_date", "depletion_label",
@@ -212,7 +212,7 @@ def dual_view(src: Billing, as_of: dt.datetime) -> DataFrame:
     by = col("__v.by")
     return rows.select(CUSTOMER, col("__v.view").alias("view"),
                        *[money(col(name) * by).alias(name) for name in amounts],
-                       F.round(col("burn") * by.cast("double"), 4).alias("burn"))
+                       (col("burn") * by.cast("double")).alias("burn"))
 
 
 def cumulative_series(src: Billing) -> DataFrame:
@@ -300,6 +300,6 @@ def margin_kpis(src: Billing, as_of: dt.datetime) -> DataFrame:
         money(or_zero(F.sum("margin_revenue"))).alias("total_margin"),
         money(or_zero(F.sum("raw_spend"))).alias("total_spend"),
         F.count("*").alias("n_rows"),
-        F.round(mean(F.sum("markup_pct"), F.count("markup_pct")) * 100, 6).alias("avg_markup_pct"),
+        (mean(F.sum("markup_pct"), F.count("markup_pct")) * 100).alias("avg_markup_pct"),
         F.min(pct).alias("min_markup_percent"), F.max(pct).alias("max_markup_percent"),
         F.count_if(col("markup_pct") == 0).alias("n_zero_markup"))

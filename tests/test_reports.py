@@ -50,11 +50,11 @@ def test_worked_example(spark):
     assert [(a.alert, a.on_date, a.days) for a in alert] == [("TOP_UP_ADVISORY", "2026-04-08", 21)]
     # A constant markup changes the amounts, not the days.
     seen = customer.overview(PublishedTables(src, AS_OF), AS_OF).first()
-    assert (seen.days_to_depletion, seen.remaining, seen.burn) == (24, D("4483.59"), 600.49)
+    assert (seen.days_to_depletion, seen.remaining, seen.burn) == (24, D("4483.59"), pytest.approx(600.49))
     summary = row_of(portfolio.customer_summary(src, AS_OF))
     assert (summary.days_to_depletion, summary.status, summary.burn_rate) == ("24", "At Risk", 583.0)
     kpis = portfolio.portfolio_kpis(src, AS_OF).first()
-    assert (kpis.n_at_risk, kpis.n_expired, kpis.avg_markup_pct) == (1, 0, 3.0)
+    assert (kpis.n_at_risk, kpis.n_expired, kpis.avg_markup_pct) == (1, 0, pytest.approx(3.0))
     views = {r.view: r for r in portfolio.dual_view(src, AS_OF).collect()}
     assert views["raw"].entitlement == D("204000.000000")
     assert views["customer"].consumed == D("205636.410000")
@@ -187,7 +187,7 @@ def test_consumer_reports(spark):
                 mapping=[("A", "L1"), ("B", "L2")])
     one = PublishedTables(src, AS_OF).of("L1")
     mix = {r.category: (r.spend, r.share_pct) for r in customer.consumption_mix(one).collect()}
-    assert mix == {"Compute": (D("30.000000"), 30.0), "Cloud Services": (D("0.000000"), 0.0),
+    assert mix == {"Compute": (D("30.000000"), pytest.approx(30.0)), "Cloud Services": (D("0.000000"), 0.0),
                    "Storage": (D("10.000000"), 10.0), "Other": (D("60.000000"), 60.0)}
     ahead = customer.projection(one, AS_OF).orderBy("day_ahead").collect()
     assert len(ahead) == 60 and (ahead[0].date, ahead[0].projected) == (DAY(2026, 3, 7), 145.0)
