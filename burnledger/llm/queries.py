@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op6_packing, op10_binary_ids
+from burnledger.llm import op1_language, op6_packing, op7_quality, op10_binary_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op7_quality.scored(docs, op7_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,8 @@ def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language_query,
+    "op7_quality": op7_quality_query,
     "op6_packing": op6_packing_query,
     "op10_binary_ids": op10_binary_query,
 }
