@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op6_packing, op7_quality, op10_binary_ids
+from burnledger.llm import op1_language, op6_packing, op7_quality, op8_fingerprint, op10_binary_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op6_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_binary_ids.token_files(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language_query,
     "op7_quality": op7_quality_query,
     "op6_packing": op6_packing_query,
+    "op8_fingerprint": op8_fingerprint_query,
     "op10_binary_ids": op10_binary_query,
 }
 
