@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -26,10 +27,41 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """The rows written once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch(spark)
+    """The rows written once to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Afterwards the shuffle files behind them are of no use; collecting garbage lets Spark's cleaner drop them.
+    """
+    path, schema = scratch(spark), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def connected(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """Smallest node reachable from each node of undirected edges (a, b long): columns node, root.
+
+    Large-star and small-star rounds until the edges form stars around their smallest node. Every round aggregates
+    before it joins, so a hub meets its neighbours' smallest label only; rounds grow with the logarithm of the longest
+    path.
+    """
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), spark)
+    previous = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(large.where("u <> v").distinct(), spark)
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        small = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = stored(small.union(least.select("u", F.col("m").alias("v"))).select(
+            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), spark)
+        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if seen == previous:
+            break
+        previous = seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op6_packing, op7_quality, op8_fingerprint, op10_binary_ids
+from burnledger.llm import op1_language, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op8_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_binary_ids.token_files(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality_query,
     "op6_packing": op6_packing_query,
     "op8_fingerprint": op8_fingerprint_query,
+    "op9_jaccard": op9_jaccard_query,
     "op10_binary_ids": op10_binary_query,
 }
 
