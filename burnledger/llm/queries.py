@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
+from burnledger.llm import op1_language, op2_decontamination, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality.scored(docs, op7_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_substring.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language_query,
+    "op2_decontamination": op2_decontamination_query,
     "op5_substring": op5_substring_query,
     "op7_quality": op7_quality_query,
     "op6_packing": op6_packing_query,
