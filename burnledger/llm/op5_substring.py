@@ -286,7 +286,8 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
     found = repeats(_rows(docs, id_col, text_col).where("doc_id IS NOT NULL"), length).withColumnRenamed("row", "__row")
     joined = keyed.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("windows").alias("__windows"))
-    at = docs.columns.index(text_col)
+    names = list(docs.columns)
+    at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -295,6 +296,6 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             texts.append(b" ".join(kept).decode("utf-8", "surrogatepass") if removed else text)
         columns = batch.columns[:-1]
         columns[at] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_arrays(columns, docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return common.per_slice(joined, run, docs.schema)
