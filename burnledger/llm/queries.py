@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op2_decontamination, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
+from burnledger.llm import op1_language, op2_decontamination, op3_license, op4_token_counts, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def op2_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_license.scan(table(spark, sf_dir, "documents"), op3_license.known(spark))
+
+
+def op4_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_token_counts.count_edits(table(spark, sf_dir, "documents"), op4_token_counts.sample_edits())
+
+
 def op5_substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_substring.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language_query,
     "op2_decontamination": op2_decontamination_query,
+    "op3_license": op3_license_query,
+    "op4_token_counts": op4_token_counts_query,
     "op5_substring": op5_substring_query,
     "op7_quality": op7_quality_query,
     "op6_packing": op6_packing_query,
@@ -59,4 +69,4 @@ QUERIES: dict[str, Query] = {
     "op10_binary_ids": op10_binary_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license": op3_license.oracle()}
