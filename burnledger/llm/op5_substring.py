@@ -103,11 +103,12 @@ class Automaton:
         return out
 
 
-def anchors(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def anchors(text: str | None, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """The anchor of each window; empty if there are fewer words."""
+    words = wordhash.word_hashes(text)
     if len(words) < length:
         return np.zeros(0, np.uint64)
-    return wordhash.sliding_min(wordhash.run_hashes(wordhash.word_hashes(words), gram), length - gram + 1)
+    return wordhash.sliding_min(wordhash.run_hashes(words, gram), length - gram + 1)
 
 
 def _runs(flags: np.ndarray, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -145,7 +146,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     def list_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, found = [], [], []
         for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            distinct = np.unique(anchors(wordhash.split(text), length, gram))
+            distinct = np.unique(anchors(text, length, gram))
             found.append(distinct)
             names.append(np.full(len(distinct), row, np.int64))
             ids.append(np.full(len(distinct), doc_id, np.int64))
@@ -161,7 +162,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         out = []
         for row, doc_id, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             words = wordhash.split(text)
-            own = anchors(words, length, gram)
+            own = anchors(text, length, gram)
             sorted_marks = np.sort(np.array(wanted, np.int64).view(np.uint64))
             at = np.minimum(np.searchsorted(sorted_marks, own), len(sorted_marks) - 1)
             for a, b in _runs(sorted_marks[at] == own, own):
@@ -200,7 +201,7 @@ def _cut_down(contexts: DataFrame, length: int) -> DataFrame:
     def list_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hashes = np.unique(wordhash.run_hashes(wordhash.word_hashes(text.split(b" ")), length))
+            hashes = np.unique(wordhash.run_hashes(wordhash.hashed(text), length))
             found.append(hashes)
             ids.append(np.full(len(hashes), doc_id, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))],
@@ -216,7 +217,7 @@ def _cut_down(contexts: DataFrame, length: int) -> DataFrame:
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for anchor, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for i, h in enumerate(wordhash.run_hashes(wordhash.word_hashes(text.split(b" ")), length).view(np.int64).tolist()):
+            for i, h in enumerate(wordhash.run_hashes(wordhash.hashed(text), length).view(np.int64).tolist()):
                 rows.append((anchor, digest, i, h))
         columns = zip(*rows, strict=True) if rows else [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(

@@ -42,10 +42,10 @@ SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes; a text with fewer words is one shingle, one without words none."""
-    found = wordhash.lower_ascii(text)
-    if not found:
+    found = wordhash.word_hashes(text, lower=True)
+    if not len(found):
         return np.zeros(0, np.uint64)
-    return np.unique(wordhash.run_hashes(wordhash.word_hashes(found), min(words, len(found))))
+    return np.unique(wordhash.run_hashes(found, min(words, len(found))))
 
 
 def overlap(m: int, n: int, percent: int = PERCENT) -> int:
@@ -157,9 +157,9 @@ def _sets(rows: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b of nodes) that link, compared on their whole sets.
 
-    places: node, doc_id, tie of one document of each node. Each node's text is fetched once and its set sent to the
-    leaders (a) that it is paired with; the partners of a leader are split into groups of bounded size, each of which
-    gets the leader's set. Within a task rows are streamed in order: only the leader's set is kept.
+    places: node, doc_id, tie of one document of each node. Each node's text is fetched once and sent to the leaders
+    (a) that it is paired with (texts compress, hashes do not); the partners of a leader are split into groups of
+    bounded size, each of which gets the leader's text. Within a task rows are streamed in order: only the leader's set is kept.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     to = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("leader"),
@@ -174,24 +174,23 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
         for batch in batches:
             for i in range(batch.num_rows):
                 node, to, text = (batch.column(k)[i].as_py() for k in range(3))
-                packed = shingles(text, words).tobytes()
                 for start in range(0, len(to), 64):
                     part = to[start : start + 64]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x["leader"] for x in part], pa.int64()), pa.array([x["salt"] for x in part], pa.int32()),
                          pa.array([int(x["leader"] != node) for x in part], pa.int32()),
-                         pa.array([node] * len(part), pa.int64()), pa.array([packed] * len(part), pa.binary())],
-                        ["leader", "salt", "role", "node", "packed"])
+                         pa.array([node] * len(part), pa.int64()), pa.array([text] * len(part), pa.string())],
+                        ["leader", "salt", "role", "node", "text"])
 
-    sent = (texts.mapInArrow(send, "leader long, salt int, role int, node long, packed binary")
+    sent = (texts.mapInArrow(send, "leader long, salt int, role int, node long, text string")
             .repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
-            for leader, salt, role, node, packed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                found = np.frombuffer(packed, np.uint64)
+            for leader, salt, role, node, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                found = shingles(text, words)
                 if role == 0:
                     at, mine = (leader, salt), found
                     continue

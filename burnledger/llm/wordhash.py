@@ -6,41 +6,52 @@ Words are cut from the UTF-8 bytes at space, tab, line feed, vertical tab, form
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
-import xxhash
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CACHE_WORDS = 1_000_000
-_POWERS = 1 << 16
-
-
-class _Hashes(dict):
-    """Word -> hash, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_known = _Hashes()
+_PART = 1 << 22  # bytes that are hashed at a time
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(20250501).integers(1, 1 << 63, 256, dtype=np.uint64)  # a number for each byte
+_BREAK = re.compile(rb"[\x09-\x0d ]")
 
 
 def split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def lower_ascii(text: str | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased and nothing else changed."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def hashed(data: bytes) -> np.ndarray:
+    """Hash of each word of a UTF-8 text: a polynomial of its bytes modulo 2^64, mixed with its length."""
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > _PART:
+            found = _BREAK.search(data, at + _PART)
+            end = found.start() if found else end
+        out.append(_hashed(np.frombuffer(data, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = ~_BLANK[data]
+    turns = np.diff(word)
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    size = 1 << max(16, len(data).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers(_BASE, size)[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > _CACHE_WORDS:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """Hash of each word of a text, with A-Z lower-cased on demand and nothing else changed."""
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    return hashed(data.lower() if lower else data)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, np.uint64)
     steps[0] = 1
