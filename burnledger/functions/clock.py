@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 OVERVIEW_PERIODS = {"30 days": 30, "60 days": 60, "90 days": 90, "180 days": 180}
 BREAKOUT_PERIODS = {"1M": 30, "3M": 90, "1Y": 365}
 
+HORIZON_DAYS = 36_525  # a forecast further ahead, 100 years, gets no date
+
 
 @dataclass(frozen=True)
 class Clock:
@@ -51,8 +53,9 @@ class Clock:
         return F.datediff(end, F.lit(self.edge))
 
     def date_after(self, days: Column) -> Column:
-        """Calendar date reached ``days`` days from the clock."""
-        return F.date_add(F.lit(self.today), days)
+        """Calendar date reached ``days`` days from the clock; NULL beyond HORIZON_DAYS."""
+        near = F.least(days, F.lit(HORIZON_DAYS)).cast("int")
+        return F.when(days <= HORIZON_DAYS, F.date_add(F.lit(self.today), near))
 
     def cutoff(self, period: str) -> dt.date | None:
         """First date of a named look-back period; None for the whole history."""
@@ -74,13 +77,3 @@ class Clock:
 
 def month_floor(date: Column) -> Column:
     return F.trunc(date, "MM")
-
-
-def months_between_starts(first: dt.date, date: Column) -> Column:
-    """Number of month boundaries between a fixed date and a date column."""
-    return (F.year(date) * 12 + F.month(date)) - (first.year * 12 + first.month)
-
-
-def weekday_from_sunday(date: Column) -> Column:
-    """0 for Sunday to 6 for Saturday."""
-    return F.dayofweek(date) - 1

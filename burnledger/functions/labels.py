@@ -44,15 +44,17 @@ def expiry_label(expired: Column, days_left: Column) -> Column:
             .otherwise(F.concat(days_left.cast("string"), F.lit(" days"))))
 
 
-def depletion_label(depleted: Column, days_left: Column, expired: Column,
+def depletion_label(depleted: Column, days_left: Column, expired: Column, before_expiry: Column,
                     na_when_expired: bool = True) -> Column:
     """DEPLETED, a number of days, or N/A when there is no forecast.
 
+    Funds that run out before the contract does show their days, however many.
+
     ``na_when_expired=False`` keeps the number of days of an expired contract
     even if it is the 'no forecast' value; the single-customer report does so.
     """
     days = F.concat(days_left.cast("string"), F.lit(" days"))
-    has_forecast = days_left < 999
+    has_forecast = (days_left < 999) | before_expiry
     if not na_when_expired:
         has_forecast = has_forecast | expired
     return (F.when(depleted, F.lit("DEPLETED"))
@@ -60,6 +62,12 @@ def depletion_label(depleted: Column, days_left: Column, expired: Column,
             .otherwise(F.lit("N/A")))
 
 
+def balance_band(remaining: Column, consumption_pct: Column) -> Column:
+    return (F.when(remaining <= 0, F.lit("RED"))
+            .when(consumption_pct > 80, F.lit("ORANGE"))
+            .otherwise(F.lit("GREEN")))
+
+
 def urgency_band(depleted: Column, days_left: Column) -> Column:
     return (F.when(depleted | (days_left < 60), F.lit("RED"))
             .when(days_left < 120, F.lit("ORANGE"))

@@ -36,14 +36,3 @@ def mean(total: Column, count: Column) -> Column:
 
 def magnitude_if_negative(value: Column) -> Column:
     return F.when(value < 0, -value).otherwise(zero(2))
-
-
-def jitter(key: Column, spread: Column | int) -> Column:
-    """Stable whole number in ``-(spread-1) .. spread-1`` derived from a text key.
-
-    A signed remainder of a hash has that range; the first 32 bits of the MD5
-    sum are used because every SQL engine computes them alike.
-    """
-    n = F.lit(spread) if isinstance(spread, int) else spread
-    prefix = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return prefix % (n * 2 - 1) - (n - 1)

@@ -27,7 +27,7 @@ def cumulative_spend(contracts: DataFrame, daily: DataFrame, start: Column | dt.
     days or of unknown contracts is dropped. The running sum sees at most one
     row per contract and day.
     """
-    grid = (date_spine(contracts.select(CONTRACT), start, end, DAY)
+    grid = (date_spine(contracts, start, end, DAY)
             .select(CONTRACT, DAY, zero().cast(_SUM).alias("spend"), F.lit(True).alias("__grid")))
     spend = daily.select(CONTRACT, DAY, F.col("spend").cast(_SUM).alias("spend"),
                          F.lit(False).alias("__grid"))

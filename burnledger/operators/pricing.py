@@ -1,4 +1,4 @@
-"""Contract items, rate sheets, shaped daily usage and usage prices."""
+"""Contract items, rate sheets and usage prices."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from burnledger.functions.clock import months_between_starts, weekday_from_sunday
-from burnledger.functions.scalars import jitter
 from burnledger.sources.schemas import (
     BALANCE_SOURCE, BILLING_TYPE, CAPACITY_ITEM, CONTRACT_ITEMS, FREE_ITEM, KEYS, RATE_SHEET,
     SERVICES, USAGE,
@@ -29,19 +27,6 @@ PRICES = {
     "other": {"Business Critical": "0.032", "Enterprise": "0.024", "Standard": "0.020"},
 }
 
-# How a day's usage follows from the account's base amounts.
-SHAPES = {
-    # usage_type: class, base column, share, floor, spread, Sunday, Saturday, growth per month
-    "compute": (1, "base_compute", "1.00", "0.70", 60, "0.4", "0.5", "0.02"),
-    "storage": (2, "base_storage", "1.00", "0.90", 20, "1.0", "1.0", "0.03"),
-    "cloud services": (3, "base_cloud", "1.00", "0.60", 80, "0.3", "0.4", "0.00"),
-    "automatic clustering": (4, "base_compute", "0.08", "0.50", 100, "1.0", "1.0", "0.00"),
-    "serverless tasks": (5, "base_compute", "0.12", "0.40", 120, "1.0", "1.0", "0.00"),
-    "snowpipe": (6, "base_compute", "0.06", "0.30", 140, "1.0", "1.0", "0.00"),
-    "data transfer": (7, "base_compute", "0.02", "0.20", 160, "1.0", "1.0", "0.00"),
-}
-
-
 def _number(value: str | int, precision: int, scale: int) -> Column:
     return F.lit(Decimal(value)).cast(DecimalType(precision, scale))
 
@@ -68,48 +53,19 @@ def with_services(accounts: DataFrame) -> DataFrame:
 
 def rate_sheet(accounts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Account x day x service with the list rate raised by service level, at 2 decimals."""
+    return sheet_rows(date_spine(accounts, start, end, "date"))
+
+
+def sheet_rows(account_days: DataFrame) -> DataFrame:
+    """The sheet of given accounts and days (``date``): each once per metered service."""
     level = F.col("service_level")
     uplift = F.lit(Decimal("1.00"))
     for name, value in UPLIFTS.items():
         uplift = F.when(level == name, F.lit(value)).otherwise(uplift)
-    rows = (with_services(accounts)
+    rows = (with_services(account_days)
             .withColumn("effective_rate", F.col("list_rate") * uplift)
             .withColumns({"is_adjustment": F.lit(False), "currency": F.lit("USD")}))
-    return conform(date_spine(rows, start, end, "date"), RATE_SHEET)
-
-
-def daily_usage(accounts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Account x day x service with the unrounded quantity ``credit_usage``.
-
-    base x share x (floor + jitter / 100) x weekend factor x monthly growth.
-    ``accounts`` carries ``base_compute``, ``base_storage`` and ``base_cloud``.
-    Months count from ``start``. Nothing is shuffled: rows expand in place.
-    """
-    shapes = F.create_map(*[part for usage_type, (cls, base, share, floor, spread, sun, sat, growth)
-                            in SHAPES.items()
-                            for part in (F.lit(usage_type), F.struct(
-                                F.lit(cls).alias("cls"), F.lit(base).alias("base"),
-                                _number(share, 3, 2).alias("share"), _number(floor, 3, 2).alias("floor"),
-                                F.lit(spread).alias("spread"), _number(sun, 2, 1).alias("sunday"),
-                                _number(sat, 2, 1).alias("saturday"),
-                                _number(growth, 3, 2).alias("growth")))])
-    rows = (with_services(accounts)
-            .withColumn("__shape", F.element_at(shapes, F.col("usage_type"))))
-    rows = date_spine(rows, start, end, "usage_date")
-    day, shape = F.col("usage_date"), F.col("__shape")
-    base = (F.when(shape["base"] == "base_compute", F.col("base_compute"))
-            .when(shape["base"] == "base_storage", F.col("base_storage"))
-            .otherwise(F.col("base_cloud"))).cast(DecimalType(9, 2))
-    key = F.concat(F.col("account_name"), day.cast("string"), shape["cls"].cast("string"))
-    noise = jitter(key, shape["spread"]).cast(DecimalType(4, 0)) * _number("0.01", 3, 2)
-    weekday = weekday_from_sunday(day)
-    weekend = (F.when(weekday == 0, shape["sunday"]).when(weekday == 6, shape["saturday"])
-               .otherwise(_number("1.0", 2, 1)))
-    months = months_between_starts(start, day).cast(DecimalType(4, 0))
-    growth = (F.lit(Decimal(1)) + months * shape["growth"]).cast(DecimalType(5, 2))
-    credit = (base * shape["share"] * (shape["floor"] + noise).cast(DecimalType(4, 2))
-              * weekend * growth)
-    return rows.withColumn("credit_usage", credit).drop("__shape", "list_rate")
+    return conform(rows, RATE_SHEET)
 
 
 def unit_price(rating_type: Column, service_level: Column) -> Column:
@@ -135,8 +91,3 @@ def price_usage(quantities: DataFrame) -> DataFrame:
         "balance_source": F.lit(BALANCE_SOURCE),
         "is_adjustment": F.lit(False),
     }), USAGE)
-
-
-def account_dimension(df: DataFrame) -> list[str]:
-    """The identifying columns of an account row."""
-    return [c for c in (*KEYS, *ACCOUNT_COLUMNS) if c in df.columns]

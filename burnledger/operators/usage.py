@@ -56,11 +56,3 @@ def latest_per(df: DataFrame, keys: list[str], order: list[str], keep: list[str]
     best = F.max(F.struct(*columns)).alias("__best")
     grouped = df.groupBy(*keys).agg(best)
     return grouped.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in keep])
-
-
-def first_per(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """The row with the smallest ``order`` per key."""
-    columns = order + [c for c in keep if c not in order]
-    best = F.min(F.struct(*columns)).alias("__best")
-    grouped = df.groupBy(*keys).agg(best)
-    return grouped.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in keep])

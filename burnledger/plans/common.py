@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burnledger.functions.clock import Clock
 from burnledger.functions.labels import (
-    date_label, depletion_label, expiry_class, expiry_label, urgency_band,
+    balance_band, date_label, depletion_label, expiry_class, expiry_label, urgency_band,
 )
 from burnledger.functions.scalars import magnitude_if_negative, mean, or_zero, percent_of
 from burnledger.operators.usage import DAY, running_total
@@ -15,6 +15,7 @@ from burnledger.sources.schemas import CAPACITY_ITEM, FREE_ITEM
 
 BURN_DAYS = 30
 NO_FORECAST = 999
+MOST_DAYS = 1e15  # keeps the days of a vanishing burn within a bigint
 LATEST = {
     "remaining": "capacity_balance",
     "rollover": "rollover_balance",
@@ -64,7 +65,7 @@ def with_fallback(booked: Column, consumed: Column, remaining: Column, limit: Co
 
 def whole_days(funds: Column, burn: Column) -> Column:
     """Days the funds last, rounded down; only for positive funds and burn."""
-    return F.floor(funds.cast("double") / burn).cast("int")
+    return F.floor(F.least(funds.cast("double") / burn, F.lit(MOST_DAYS))).cast("bigint")
 
 
 def usage_profile(daily: DataFrame, limits: DataFrame, keys: list[str], clock: Clock,
@@ -117,35 +118,39 @@ def assess(state: DataFrame, clock: Clock, expired_keeps_days: bool = False) ->
     lasting = (col("burn") > 0) & (col("funds") > 0)
     state = state.withColumn(
         "days_to_depletion",
-        F.when(col("depleted"), F.lit(0)).when(lasting, whole_days(col("funds"), col("burn")))
+        F.when(col("depleted"), F.lit(0).cast("bigint")).when(lasting, whole_days(col("funds"), col("burn")))
         .otherwise(F.lit(NO_FORECAST)))
     days = col("days_to_depletion")
     return state.withColumns({
         "depletion_date": F.when(col("depleted"), F.coalesce(date_label(col("reached_on")), F.lit("Depleted")))
-        .when(lasting, date_label(clock.date_after(days))).otherwise(F.lit("N/A")),
+        .when(lasting, F.coalesce(date_label(clock.date_after(days)), F.lit("N/A"))).otherwise(F.lit("N/A")),
         "depletes_before_expiry": ~col("expired") & ~col("depleted") & (days < col("days_to_expiry")),
         "urgency": urgency_band(col("depleted"), days),
+        "balance_band": balance_band(col("remaining"), col("consumption_pct")),
         "expiry_class": expiry_class(col("expired"), col("days_to_expiry")),
         "expiry_label": expiry_label(col("expired"), col("days_to_expiry")),
-        "depletion_label": depletion_label(col("depleted"), days, col("expired"), not expired_keeps_days),
-    })
+    }).withColumn("depletion_label", depletion_label(
+        col("depleted"), days, col("expired"), col("depletes_before_expiry"), not expired_keeps_days))
 
 
 def alerts(assessed: DataFrame, keys: list[str]) -> DataFrame:
     """Zero to two rows per key: depleted or top-up advisory, and expired.
 
     ``amount`` is the capacity used up, or the funds left; ``days`` the days
-    before the end of the contract, or since.
+    before the end of the contract, or since. A depleted holder also shows what
+    was consumed, the overage, and the rollover that absorbs it.
     """
     col = F.col
 
-    def alert(name: str, date: Column, amount: Column, days: Column) -> Column:
+    def alert(name: str, date: Column, amount: Column, days: Column, spent: bool = False) -> Column:
+        details = [(col(c) if spent else none).cast(kind).alias(c) for c, kind in (
+            ("consumed", "decimal(38,6)"), ("overage", "decimal(38,6)"), ("rollover", "decimal(38,2)"))]
         return F.struct(F.lit(name).alias("alert"), date.alias("on_date"),
-                        amount.cast("decimal(38,4)").alias("amount"), days.cast("int").alias("days"))
+                        amount.cast("decimal(38,4)").alias("amount"), days.cast("bigint").alias("days"), *details)
 
     none = F.lit(None)
     funds_alert = (
-        F.when(col("depleted"), alert("CAPACITY_DEPLETED", col("depletion_date"), col("capacity"), none))
+        F.when(col("depleted"), alert("CAPACITY_DEPLETED", col("depletion_date"), col("capacity"), none, True))
         .when(col("depletes_before_expiry"),
               alert("TOP_UP_ADVISORY", col("depletion_date"), col("funds"),
                     col("days_to_expiry") - col("days_to_depletion"))))

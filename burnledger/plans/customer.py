@@ -137,7 +137,7 @@ def overview(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
         "burn",
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label", "depleted", "days_to_depletion", "depletion_date",
-        "depletion_label", "depletes_before_expiry", "urgency")
+        "depletion_label", "depletes_before_expiry", "urgency", "balance_band")
 
 
 def consumer_alerts(tables: PublishedTables, as_of: dt.datetime) -> DataFrame:
@@ -179,8 +179,8 @@ def breakout(tables: PublishedTables, as_of: dt.datetime, period: str = "All") -
 
 
 def daily_by_service(tables: PublishedTables) -> DataFrame:
-    return (spend_by(tables.usage, CONSUMER, DAY, "service_type")
-            .select(CONSUMER, DAY, "service_type", money(F.col("spend")).alias("spend")))
+    """Daily spend by service over the whole history."""
+    return breakout(tables, dt.datetime.max)
 
 
 def active_contract(tables: PublishedTables) -> DataFrame:

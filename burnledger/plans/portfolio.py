@@ -191,7 +191,7 @@ def deep_dive(src: Billing, as_of: dt.datetime) -> DataFrame:
         "start_date", "end_date", "expired", "days_to_expiry", "days_past_end",
         "expiry_class", "expiry_label",
         "depleted", "days_to_depletion", "depletion_date", "depletion_label",
-        "depletes_before_expiry", "urgency",
+        "depletes_before_expiry", "urgency", "balance_band",
         percent_points(col("markup_pct")).alias("markup_percent"),
         margin.alias("margin_revenue"),
         money(col("consumed") + margin).alias("customer_sees"))

@@ -16,9 +16,9 @@ from burnledger.operators.usage import DAY, daily_spend, running_total
 from burnledger.plans import customer, portfolio
 from burnledger.plans.common import entitlements
 from burnledger.plans.customer import PublishedTables
-from burnledger.sources.bridge import AS_OF, CONSUMER_EXAMPLE, FIRST_DAY, BridgeSource
-from burnledger.sources.schemas import BALANCE_COLUMNS, CONTRACT, CUSTOMER
-from burnledger.sources.tables import date_spine
+from burnledger.sources.bridge import AS_OF, CONSUMER_EXAMPLE, BridgeSource
+from burnledger.sources.schemas import BALANCE_COLUMNS, CONTRACT, CUSTOMER, ORG
+from burnledger.sources.tables import normalise_dates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,13 @@ def _cumulative(src: BridgeSource) -> DataFrame:
                                  portfolio.money(F.col("cum_spend")).alias("cum_spend"))
 
 
+def _changes(src: BridgeSource) -> DataFrame:
+    """A new rate for every third organisation."""
+    return src.rates.filter("effective_to IS NULL").filter(F.substring_index(ORG, "_", -1).cast("int") % 3 == 0).select(
+        ORG, F.lit(Decimal("0.0450")).cast("decimal(5,4)").alias("markup_pct"),
+        F.lit(dt.date(2001, 8, 1)).alias("effective_from"))
+
+
 def _onboard(src: BridgeSource) -> tuple[DataFrame, DataFrame]:
     return config.onboard(src.mapping, src.rates, "ORG_NEW", "New Customer", "LOC_NEW",
                           Decimal("0.025"), AS_OF.date(), AS_OF)
@@ -83,12 +90,10 @@ QUERIES: dict[str, Query] = {
     "published_balance": _on_source(shared.published_balance),
     "shared_view_counts": _on_published(_view_counts),
     # pricing and drawdown
-    "date_spine": _on_source(lambda s: date_spine(s.organisations.select(CONTRACT), FIRST_DAY, s.last_day, "date")),
+    "date_spine": _on_source(lambda s: s.calendar),
     "contract_items": _on_source(lambda s: s.contract_items),
     "rate_sheet": _on_source(lambda s: s.rate_sheet),
-    "daily_usage": _on_source(lambda s: s.shaped_usage.select(
-        "account_name", "usage_date", "usage_type", "service_type", "credit_usage")),
-    "priced_usage": _on_source(lambda s: pricing.price_usage(s.shaped_usage)),
+    "priced_usage": _on_source(lambda s: pricing.price_usage(s.quantities)),
     "daily_spend": _on_source(lambda s: _spend(s, None)),
     "daily_spend_one_contract": _on_source(lambda s: _spend(s, "CNT-3")),
     "cumulative_spend": _on_source(_cumulative),
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "top5_trend_by_credits": _on_source(lambda s: portfolio.top_trend(s, AS_OF, "total_credits")),
     "top5_trend_by_burn": _on_source(lambda s: portfolio.top_trend(s, AS_OF, "burn_per_row")),
     "margin_report": _on_source(lambda s: portfolio.margin_report(s, AS_OF)),
+    "margin_report_ascending": _on_source(lambda s: portfolio.margin_report(s, AS_OF, descending=False)),
     "margin_kpis": _on_source(lambda s: portfolio.margin_kpis(s, AS_OF)),
     # customer
     "contract_header": _on_published(customer.contract_header),
@@ -141,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "onboard_rates": _on_source(lambda s: _onboard(s)[1]),
     "change_rate": _on_source(lambda s: config.change_rate(
         s.rates, "ORG_3", Decimal("0.05"), dt.date(2001, 7, 1), AS_OF)),
+    "change_rates": _on_source(lambda s: config.change_rate_rows(s.rates, _changes(s), AS_OF)),
     "deactivate": _on_source(lambda s: config.deactivate(s.mapping, "ORG_5", AS_OF)),
     "rate_violations": _on_source(lambda s: audits.rate_violations(s.dirty_rates)),
     "mapping_violations": _on_source(lambda s: audits.mapping_violations(s.dirty_mapping)),
@@ -151,6 +158,8 @@ QUERIES: dict[str, Query] = {
     "reconcile": _on_source(lambda s: audits.reconcile(s.usage, shared.published_usage(s))),
     "config_gaps": _on_source(lambda s: audits.config_gaps(s.usage, s.mapping, s.dirty_rates)),
     # dates and labels
+    "normalised_dates": _on_source(lambda s: normalise_dates(s.usage.select(
+        CONTRACT, F.date_format("usage_date", "yyyy-MM-dd").alias("usage_date"), "service_type", "usage"))),
     "usage_bounds": _on_source(_usage_bounds),
     "currency_labels": _on_source(_currency_labels),
     "percent_labels": _on_source(_percent_labels),

@@ -18,20 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from burnledger.operators import drawdown, pricing
-from burnledger.operators.usage import daily_cube
+from burnledger.operators.usage import DAY, daily_cube
 from burnledger.sources.schemas import (
     ACCOUNT_MAPPING, BALANCE_SOURCE, BILLING_TYPE, CONSUMER, CONTRACT, CUSTOMER, KEYS, MARKUP_RATES, ORG,
     SERVICES, USAGE,
 )
-from burnledger.sources.tables import conform
+from burnledger.sources.tables import conform, date_spine
 
 AS_OF = dt.datetime(2001, 6, 15, 12, 0, 0)
 CONSUMER_EXAMPLE = "LOC3"
 SELLER = "CHANNEL_PARTNER"
 FIRST_DAY = dt.date(1995, 1, 1)
 RATE_CHANGE = dt.date(1998, 7, 1)
-SHEET_START = dt.date(2000, 6, 15)
 CREATED = dt.datetime(1995, 1, 1)
+LONG_LASTING = 19  # the organisation whose funds last for years, yet not to the end of its contract
 
 # Declared, so that opening a table starts no job to read its footers.
 TEST_TABLES = {
@@ -99,16 +99,14 @@ class BridgeSource:
 
     @cached_property
     def usage(self) -> DataFrame:
-        """One usage row per order line up to the clock's day.
+        """One usage row per order line, also those dated after the clock.
 
         Orders meet customers first, on three narrow columns; the lines are
         then shuffled once, on the order key. Names are attached last, from
         the organisations, so they do not travel through a shuffle.
         """
-        day_after = (self.last_day + dt.timedelta(days=1)).isoformat()
-        lines = self._table("lineitem").filter(
-            F.col("l_shipdate") < F.lit(day_after).cast("timestamp_ntz")
-        ).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+        lines = self._table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                               "l_discount", "l_shipdate")
         buyers = self._table("customer").select(F.col("c_custkey").alias("o_custkey"),
                                                 F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
         orders = (self._table("orders").select("o_orderkey", "o_custkey").join(buyers, "o_custkey")
@@ -144,8 +142,10 @@ class BridgeSource:
         totals = self.cube.groupBy(CONTRACT).agg(F.sum("spend").alias("__total"))
         key = F.col("n_nationkey")
         total = F.coalesce(F.col("__total"), F.lit(Decimal(0))).cast(DecimalType(28, 6))
-        share = ((F.lit(60) + F.lit(5) * (key % 10)) * _number("0.01", 3, 2)).cast(DecimalType(4, 2))
-        end = (F.when(key % 3 == 0, F.lit(dt.date(2001, 3, 31)))
+        share = F.when(key == LONG_LASTING, _number("9.00", 4, 2)).otherwise(
+            ((F.lit(60) + F.lit(5) * (key % 10)) * _number("0.01", 3, 2)).cast(DecimalType(4, 2)))
+        end = (F.when(key == LONG_LASTING, F.lit(dt.date(2090, 12, 31)))
+               .when(key % 3 == 0, F.lit(dt.date(2001, 3, 31)))
                .when(key % 3 == 1, F.lit(dt.date(2001, 8, 1))).otherwise(F.lit(dt.date(2001, 12, 31))))
         money = DecimalType(18, 2)
         return self.organisations.join(totals, CONTRACT, "left").select(
@@ -161,36 +161,33 @@ class BridgeSource:
     def contract_items(self) -> DataFrame:
         return pricing.contract_items(self.contracts)
 
+    def _spans(self) -> DataFrame:
+        """Each contract with its calendar's last day: the clock's, or that of later usage."""
+        last = self.cube.groupBy(CONTRACT).agg(F.max(DAY).alias("__last"))
+        return self.organisations.join(last, CONTRACT, "left").select(
+            CONTRACT, F.greatest(F.lit(self.last_day), F.col("__last")).alias("last_day"))
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return date_spine(self._spans(), FIRST_DAY, F.col("last_day"), "date").select(CONTRACT, "date")
+
     @cached_property
     def cumulative(self) -> DataFrame:
-        return drawdown.cumulative_spend(self.organisations, self.cube, FIRST_DAY, self.last_day)
+        return drawdown.cumulative_spend(self._spans(), self.cube, FIRST_DAY, F.col("last_day"))
 
     @cached_property
     def balances(self) -> DataFrame:
         return drawdown.remaining_balances(self.contracts, self.cumulative)
 
-    @cached_property
-    def accounts(self) -> DataFrame:
-        """The accounts found among the customers; their number sets the base amounts."""
-        groups = self._table("customer").groupBy("c_nationkey", "c_mktsegment").agg(
-            F.count("*").alias("n_customers"))
-        size = F.col("n_customers").cast(DecimalType(9, 0))
-        amount = DecimalType(9, 2)
-        return (groups.withColumnRenamed("c_nationkey", "n_nationkey")
-                .join(self.organisations, "n_nationkey")
-                .withColumns(self._account_columns("n_nationkey", "c_mktsegment"))
-                .select(*KEYS, "account_name", "account_locator", "region", "service_level",
-                        size.cast(amount).alias("base_compute"),
-                        (size * _number("0.18", 3, 2)).cast(amount).alias("base_storage"),
-                        (size * _number("0.14", 3, 2)).cast(amount).alias("base_cloud")))
-
     @cached_property
     def rate_sheet(self) -> DataFrame:
-        return pricing.rate_sheet(self.accounts, SHEET_START, self.last_day)
+        """The sheet of every day on which an account has usage."""
+        days = self.usage.select(*KEYS, *pricing.ACCOUNT_COLUMNS, F.col("usage_date").alias("date")).distinct()
+        return pricing.sheet_rows(days)
 
     @cached_property
-    def shaped_usage(self) -> DataFrame:
-        return pricing.daily_usage(self.accounts, SHEET_START, self.last_day)
+    def quantities(self) -> DataFrame:
+        return self.usage.withColumn("credit_usage", F.col("usage"))
 
     @cached_property
     def mapping(self) -> DataFrame:

@@ -57,7 +57,8 @@ class TableSource:
         root = root or self.root
         if self.catalog:
             return conform(self.spark.table(f"{root}.{name}"), TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+        # Files may hold wider decimals than the model; they are read as written, then cast.
+        return conform(self.spark.read.parquet(f"{root}/{name}"), TABLES[name])
 
     @cached_property
     def contract_items(self) -> DataFrame:
@@ -157,5 +158,5 @@ def latest_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataF
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header. One file only for reports of a few rows per customer."""
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df  # only the write is single; sort again where order matters
     out.write.mode("overwrite").option("header", True).csv(path)

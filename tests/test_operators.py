@@ -178,11 +178,10 @@ def test_fold_rows(spark):
 
 def accounts(spark, level="Enterprise"):
     return spark.createDataFrame(
-        [("SELLER", "A", "Customer A", "PO-A", "CNT-A", "ACC", "LOC", "R", level, D("100"), D("20"), D("10"))],
+        [("SELLER", "A", "Customer A", "PO-A", "CNT-A", "ACC", "LOC", "R", level)],
         "organization_name string, sold_to_organization_name string, sold_to_customer_name string, "
         "sold_to_po_number string, sold_to_contract_number string, account_name string, account_locator string, "
-        "region string, service_level string, base_compute decimal(9,2), base_storage decimal(9,2), "
-        "base_cloud decimal(9,2)")
+        "region string, service_level string")
 
 
 @pytest.mark.parametrize("level, compute, storage, transfer", [
@@ -196,21 +195,16 @@ def test_rate_sheet(spark, level, compute, storage, transfer):
     assert sheet.columns == schemas.RATE_SHEET.names
 
 
-def test_usage_shape_and_price(spark):
-    shaped = pricing.daily_usage(accounts(spark, "Business Critical"), DAY(2025, 5, 3), DAY(2025, 6, 30))
-    priced = pricing.price_usage(shaped)
-    assert priced.count() == 59 * 7 and priced.columns == schemas.USAGE.names
-    rows = {(r.usage_type, r.usage_date): r for r in priced.collect()}
-    for (kind, day), row in rows.items():
-        price = {"compute": D("4.80"), "storage": D("36.80"), "data_transfer": D("0.032")}[row.rating_type]
-        assert abs(row.usage_in_currency - row.usage * price) < D("0.00002")
-        if kind == "storage":  # 20 x (0.9 +- 0.19) x growth
-            growth = D("1") + (D("0.03") if day.month == 6 else 0)
-            assert D("14.2") * growth <= row.usage <= D("21.8") * growth
-        if kind == "compute":  # weekend factors; at most 0.7 + 0.59
-            factor = {6: D("0.4"), 5: D("0.5")}.get(day.weekday(), D("1"))
-            growth = D("1") + (D("0.02") if day.month == 6 else 0)
-            assert D("11") * factor * growth <= row.usage <= D("129") * factor * growth
+def test_usage_price_by_rating_type_and_level(spark):
+    given = pricing.with_services(accounts(spark, "Business Critical")).withColumns({
+        "usage_date": F.lit(DAY(2025, 5, 3)), "credit_usage": F.lit(D("2.5"))})
+    priced = pricing.price_usage(given)
+    assert priced.columns == schemas.USAGE.names
+    got = {r.usage_type: (r.usage, r.usage_in_currency) for r in priced.collect()}
+    assert len(got) == 7
+    assert got["compute"] == (D("2.500000"), D("12.000000"))
+    assert got["storage"] == (D("2.500000"), D("92.000000"))
+    assert got["data transfer"] == (D("2.500000"), D("0.080000"))
 
 
 def test_contract_items(spark):
@@ -237,24 +231,24 @@ def test_onboard(spark):
 
 
 def test_change_rate_closes_the_open_row_only(spark):
-    before = rate_rows(spark, [("W", "0.03", DAY(2025, 5, 1), None), ("W", "0.01", DAY(2024, 1, 1), DAY(2025, 4, 30)),
-                               ("W", "0.02", DAY(2025, 1, 1), None, False), ("X", "0.02", DAY(2025, 5, 1), None)])
-    after = config.change_rate(before, "W", D("0.04"), DAY(2025, 7, 1), NOW)
+    before = rate_rows(spark, [("Q", "0.015", DAY(2024, 2, 1), None), ("Q", "0.01", DAY(2023, 3, 1), DAY(2024, 1, 31)),
+                               ("Q", "0.02", DAY(2024, 1, 15), None, False), ("R", "0.02", DAY(2024, 2, 1), None)])
+    after = config.change_rate(before, "Q", D("0.035"), DAY(2024, 11, 15), NOW)
     got = sorted((r[ORG], r.effective_from, r.effective_to, r.markup_pct, r.is_active) for r in after.collect())
     assert got == [
-        ("W", DAY(2024, 1, 1), DAY(2025, 4, 30), D("0.0100"), True),
-        ("W", DAY(2025, 1, 1), None, D("0.0200"), False),
-        ("W", DAY(2025, 5, 1), DAY(2025, 6, 30), D("0.0300"), True),
-        ("W", DAY(2025, 7, 1), None, D("0.0400"), True),
-        ("X", DAY(2025, 5, 1), None, D("0.0200"), True)]
-    changes = spark.createDataFrame([("W", D("0.04"), DAY(2025, 7, 1))],
+        ("Q", DAY(2023, 3, 1), DAY(2024, 1, 31), D("0.0100"), True),
+        ("Q", DAY(2024, 1, 15), None, D("0.0200"), False),
+        ("Q", DAY(2024, 2, 1), DAY(2024, 11, 14), D("0.0150"), True),
+        ("Q", DAY(2024, 11, 15), None, D("0.0350"), True),
+        ("R", DAY(2024, 2, 1), None, D("0.0200"), True)]
+    changes = spark.createDataFrame([("Q", D("0.035"), DAY(2024, 11, 15))],
                                     "sold_to_organization_name string, markup_pct decimal(5,4), effective_from date")
     batch = config.change_rate_rows(before, changes, NOW)
     assert sorted(map(str, batch.collect())) == sorted(map(str, after.collect()))
     # Prices of earlier days do not move.
-    rows = usage_rows(spark, [("W", DAY(2025, 6, 30), "10"), ("W", DAY(2025, 7, 1), "10")])
+    rows = usage_rows(spark, [("Q", DAY(2024, 11, 14), "10"), ("Q", DAY(2024, 11, 15), "10")])
     out = markup.apply_markup(rows, after, {"usage_in_currency": 6}, "usage_date")
-    assert sorted(r.usage_in_currency for r in out.collect()) == [D("10.300000"), D("10.400000")]
+    assert sorted(r.usage_in_currency for r in out.collect()) == [D("10.150000"), D("10.350000")]
 
 
 def test_rates_above_the_limit_are_rejected(spark):
@@ -305,10 +299,8 @@ def test_config_gaps(spark):
                    ("NO_RATE", "A", DAY(2025, 4, 29), 2), ("NO_RATE", "Z", DAY(2025, 5, 2), 1)]
 
 
-def test_latest_and_first_rows(spark):
+def test_latest_rows(spark):
     rows = balance_rows(spark, [("A", DAY(2025, 1, 1), "1", "1", "0", "0"), ("A", DAY(2025, 1, 3), "2", "2", "0", "0"),
                                 ("B", DAY(2025, 1, 2), "3", "3", "0", "0")])
     last = usage.latest_per(rows, [CONTRACT], ["date"], ["capacity_balance"])
-    first = usage.first_per(rows, [CONTRACT], ["date"], ["capacity_balance"])
     assert {r[CONTRACT]: r.capacity_balance for r in last.collect()} == {"CNT-A": D("2.00"), "CNT-B": D("3.00")}
-    assert {r[CONTRACT]: r.capacity_balance for r in first.collect()} == {"CNT-A": D("1.00"), "CNT-B": D("3.00")}

@@ -11,6 +11,7 @@ from burnledger.plans.customer import PublishedTables
 from burnledger.sources.schemas import CONSUMER, CUSTOMER
 from conftest import balance_rows, billing, item_rows, mapping_rows, rate_rows, table, usage_rows
 from burnledger.sources import schemas
+from burnledger.sources.bridge import BridgeSource
 
 DAY = dt.date
 AS_OF = dt.datetime(2026, 3, 15, 12)
@@ -226,3 +227,25 @@ def test_daily_cube_has_one_row_per_contract_and_day(spark):
 def test_whole_days_rounds_down(spark):
     row = spark.range(1).select(common.whole_days(F.lit(D("14353.00")), F.lit(583.0)).alias("d")).first()
     assert row.d == 24
+
+
+def test_a_vanishing_burn_leaves_the_other_rows_alone(spark):
+    state = spark.createDataFrame(
+        [("A", D("100"), D("1"), 5, 0.0001, None, D("1000000"), D("0"), DAY(2025, 1, 1), DAY(2026, 1, 1), D("500000"), D("0"), D("0"), D("0")),
+         ("B", D("100"), D("1"), 5, 1e-300, None, D("1000000"), D("0"), DAY(2025, 1, 1), DAY(2026, 1, 1), D("500000"), D("0"), D("0"), D("0")),
+         ("C", D("100"), D("1"), 5, 10.0, None, D("1000"), D("0"), DAY(2025, 1, 1), DAY(2026, 1, 1), D("500"), D("0"), D("0"), D("0"))],
+        "k string, consumed decimal(18,2), credits decimal(18,2), usage_days bigint, burn double, reached_on date, "
+        "capacity decimal(18,2), free_usage decimal(18,2), start_date date, end_date date, capacity_balance decimal(18,2), "
+        "rollover_balance decimal(18,2), free_usage_balance decimal(18,2), on_demand_consumption_balance decimal(18,2)"
+    ).withColumnsRenamed({v: k for k, v in common.LATEST.items()})
+    got = {r.k: r for r in common.assess(state, Clock(dt.datetime(2025, 6, 20, 12))).collect()}
+    assert (got["A"].days_to_depletion, got["A"].depletion_date) == (5_000_000_000, "N/A")
+    assert got["B"].depletion_date == "N/A" and got["B"].days_to_depletion > 10**14
+    assert (got["C"].days_to_depletion, got["C"].depletion_date) == (50, "2025-08-09")
+
+
+def test_alerts_show_what_was_spent(spark):
+    rows = portfolio.customer_alerts(BridgeSource(spark, "/root/testdata/sf0.001"), dt.datetime(2001, 6, 15, 12)).collect()
+    spent = [r for r in rows if r.alert == "CAPACITY_DEPLETED"]
+    assert spent and all(r.consumed is not None and r.overage is not None and r.rollover is not None for r in spent)
+    assert all(r.consumed is None for r in rows if r.alert != "CAPACITY_DEPLETED")

@@ -9,7 +9,7 @@ from burnledger.plans import customer, portfolio
 from burnledger.plans.customer import PublishedTables
 from burnledger.sources import schemas, tables
 from burnledger.sources.bridge import AS_OF, BridgeSource
-from burnledger.sources.schemas import CONSUMER, CUSTOMER, ORG
+from burnledger.sources.schemas import CONSUMER, CONTRACT, CUSTOMER, ORG
 from conftest import mapping_rows, rate_rows, usage_rows
 
 DAY = dt.date
@@ -140,7 +140,7 @@ def test_csv_exports(spark, model, tmp_path):
 
 def test_bridge_sizes(spark):
     src = BridgeSource(spark, SF)
-    assert src.usage.count() == 5661 and src.organisations.count() == 25
+    assert src.usage.count() == 6000 and src.organisations.count() == 25
     assert src.usage.schema.simpleString() == schemas.USAGE.simpleString()
     assert src.contract_items.schema.simpleString() == schemas.CONTRACT_ITEMS.simpleString()
     assert src.balances.schema.simpleString() == schemas.REMAINING_BALANCE.simpleString()
@@ -149,3 +149,40 @@ def test_bridge_sizes(spark):
 def test_usage_fixture_types(spark):
     assert usage_rows(spark, [("A", DAY(2025, 1, 1), "1")]).schema.simpleString() == schemas.USAGE.simpleString()
     assert rate_rows(spark, [("A", "0.01", DAY(2025, 1, 1), None)]).schema.names == schemas.MARKUP_RATES.names
+
+
+def test_usage_is_every_order_line_and_the_sheet_covers_its_days(spark):
+    src = BridgeSource(spark, SF)
+    assert src.usage.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    late = src.usage.filter(F.col("usage_date") > AS_OF.date())
+    assert late.count() > 0
+    days = src.usage.select("account_name", F.col("usage_date").alias("date")).distinct()
+    assert days.join(src.rate_sheet, ["account_name", "date"], "left_anti").count() == 0
+    last = src.balances.groupBy(CONTRACT).agg(F.max("date").alias("last"))
+    used = src.usage.groupBy(CONTRACT).agg(F.max("usage_date").alias("used"))
+    assert last.join(used, CONTRACT).filter(F.col("last") < F.col("used")).count() == 0
+    # Rows after the clock count in the totals, the latest 30 days and the latest balance.
+    summary = {r[CUSTOMER]: r for r in portfolio.deep_dive(src, AS_OF).collect()}
+    total = {r[CUSTOMER]: r.t for r in src.usage.groupBy(CUSTOMER).agg(F.sum("usage_in_currency").alias("t")).collect()}
+    assert {c: r.consumed for c, r in summary.items()} == total
+    assert any(r.depletes_before_expiry and r.days_to_depletion >= 999 and r.depletion_label == f"{r.days_to_depletion} days"
+               for r in summary.values())
+
+
+def test_declared_widths_are_read_by_path_and_catalog(spark, tmp_path):
+    src, root = BridgeSource(spark, SF), str(tmp_path / "wide")
+    tables_of = {"partner_contract_items": src.contract_items, "partner_rate_sheet_daily": src.rate_sheet.limit(50),
+                 "partner_usage_in_currency_daily": src.usage, "partner_remaining_balance_daily": src.balances,
+                 "account_mapping": src.mapping, "markup_rates": src.rates}
+    spark.sql("CREATE DATABASE IF NOT EXISTS wide_widths")
+    for name, df in tables_of.items():
+        wide = df.withColumns({f.name: F.col(f.name).cast(f"decimal(38,{6 if f.dataType.scale > 2 else 2})")
+                               for f in df.schema.fields
+                               if f.dataType.typeName() == "decimal" and name not in ("account_mapping", "markup_rates")})
+        wide.write.parquet(f"{root}/{name}")
+        spark.sql(f"DROP TABLE IF EXISTS wide_widths.{name}")
+        spark.sql(f"CREATE TABLE wide_widths.{name} USING parquet LOCATION '{root}/{name}'")
+    by_path = portfolio.deep_dive(tables.TableSource(spark, root), AS_OF).orderBy(CUSTOMER).collect()
+    by_name = portfolio.deep_dive(tables.TableSource(spark, "wide_widths", catalog=True), AS_OF).orderBy(CUSTOMER).collect()
+    assert by_path == by_name and len(by_path) == 25
+    spark.sql("DROP DATABASE wide_widths CASCADE")
