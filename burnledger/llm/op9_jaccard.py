@@ -11,8 +11,8 @@ their Jaccard similarity reaches the threshold.
 - The boundary is the size up to which naming subsets costs less than scanning lists.
 
 Named keys with one node only are dropped. A list is not expanded into pairs: its members are compared with one leader,
-twice with different leaders; nodes found linked form components, and only members of a list that are still in
-different components are paired and compared, after a bound on their shared keys. No candidate is dropped otherwise, so
+twice with different leaders, and again while many pairs are open; nodes found linked form components, and only
+members of a list that are still in different components are paired and compared, after a bound on their shared keys. No candidate is dropped otherwise, so
 components are exact.
 """
 
@@ -36,6 +36,8 @@ PERCENT = 80
 SKETCH_BITS = 20  # counters of the sketch, 4 MB whatever the input's size
 SLICES = 16
 MOST_LIGHT = 12  # the boundary is never above this size
+ROUNDS = 8  # with leaders, at most
+CROSSING = 4  # another round is made while lists hold more open pairs than this for each of their rows
 SALT_ROWS = 2_000  # comparisons with one leader that a task takes on at a time
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
@@ -79,8 +81,8 @@ class Order:
         rank = self.classes[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         return found[np.lexsort((found, rank))]
 
-    def keys(self, found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-        """The keys under which a set is listed."""
+    def keys(self, found: np.ndarray, percent: int = PERCENT) -> tuple[list[int], list[int]]:
+        """The keys under which a set is listed, and the place of each in the set's order (0 for subsets)."""
         n, out = len(found), []
         if n <= self.light:
             for m in partners(n, percent):
@@ -88,9 +90,11 @@ class Order:
                     sizes = min(n, m) * 1000 + max(n, m)
                     out += [xxhash.xxh64_intdigest(np.array(c, np.uint64).tobytes(), sizes)
                             for c in itertools.combinations(found.tolist(), overlap(n, m, percent))]
+        subsets = np.unique(np.array(out, np.uint64)).view(np.int64).tolist()
         if n and partners(n, percent)[-1] > self.light:
-            out += self.arrange(found)[: prefix(n, percent)].tolist()
-        return np.array(out, np.uint64).view(np.int64)
+            listed = self.arrange(found)[: prefix(n, percent)].view(np.int64).tolist()
+            return subsets + listed, [0] * len(subsets) + list(range(len(listed)))
+        return subsets, [0] * len(subsets)
 
 
 def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Order:
@@ -137,21 +141,25 @@ def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def _sets(rows: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """doc_id, tie, node (hash of the set), n, keys."""
+    """doc_id, tie, node (hash of the set), n, keys and their places in the set's order."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, places = [], [], [], []
         for text in batch.column(2).to_pylist():
             found = shingles(text, words)
             sizes.append(len(found))
             nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-            keys.append(np.unique(shared.value.keys(found, percent)))
+            listed, at = shared.value.keys(found, percent)
+            keys.append(listed)
+            places.append(at)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "node", "n", "keys"])
+             pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+            ["doc_id", "tie", "node", "n", "keys", "places"])
 
-    return common.per_slice(rows.select("doc_id", "tie", "text"), run, "doc_id long, tie long, node long, n long, keys array<long>")
+    return common.per_slice(rows.select("doc_id", "tie", "text"), run,
+                            "doc_id long, tie long, node long, n long, keys array<long>, places array<int>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
@@ -212,7 +220,8 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
     rows = common.keyed(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     order = learn_order(rows, words, percent)
     sets = common.stored(_sets(rows, order, words, percent), spark)
-    listed = sets.select(F.explode("keys").alias("key"), "node", "n")
+    listed = sets.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "node", "n").select(
+        F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "node", "n")
     # Keys of two nodes and more.
     repeated = listed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     lists = common.stored(listed.join(repeated, "key").distinct(), spark)
@@ -224,47 +233,72 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
     none = -(1 << 63)
     whole = whole.withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     places = places.withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
-    edges, roots = None, None
-
-    def near(m: str, n: str) -> Column:
-        return (100 * F.least(m, n) >= percent * F.greatest(m, n))
-
-    for salted in (False, True):
-        members = lists if roots is None else _labelled(lists, roots)
-        if roots is not None:
-            mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-            members = common.stored(members.join(mixed, "key"), spark)
-        rank = F.xxhash64("node", "key") if salted else F.col("node")
-        chosen = members.withColumn("rank", rank)
-        least = chosen.groupBy("key").agg(F.min("rank").alias("rank"))
-        leaders = chosen.join(least, ["key", "rank"]).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"),
-                                                             *([F.col("root").alias("root_a")] if salted else []))
-        leaders = leaders.dropDuplicates(["key"])
-        pairs = members.join(leaders, "key").where((F.col("node") != F.col("a")) & near("n", "n_a"))
-        if salted:
-            pairs = pairs.where("root <> root_a")
-        pairs = common.stored(pairs.select("a", F.col("node").alias("b")).distinct(), spark)
+    edges, roots, step = None, None, 0
+    while True:
+        members = common.stored(_open_lists(lists, roots), spark)
+        if step > 1 and (step >= ROUNDS or _crossing(members) <= CROSSING * lists.count()):
+            break
+        pairs = common.stored(_with_leaders(members, step, percent), spark)
         found = common.stored(verified(pairs, whole, places, words, percent), spark)
         edges = found if edges is None else edges.union(found)
         roots = common.connected(edges, spark)
-    members = _labelled(lists, roots)
-    mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    members = common.stored(members.join(mixed, "key"), spark)
-    other = members.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    # Shared keys that a pair of heavy sets has at least; see prefix().
-    t = F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
-    most = F.greatest(F.ceil(percent * F.col("n") / 100), F.ceil(percent * F.col("n_a") / 100)) - 1
-    few = (F.least("n", "n_a") <= order.light) | (F.col("shared") >= t - most)
-    pairs = (members.join(other, "key").where((F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & near("n", "n_a"))
-             .groupBy("a", F.col("node").alias("b"), "n", "n_a").agg(F.count("*").alias("shared")).where(few).select("a", "b"))
+        step += 1
+    other = members.select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
+                           F.col("root").alias("root_a"))
+    # Sets that link share `least` keys at least among the first n - t + least of either; see prefix().
+    t, least = _least(percent)
+    reach = (F.col("place") < F.col("n") - t + least) & (F.col("place_a") < F.col("n_a") - t + least)
+    pairs = (members.join(other, "key")
+             .where((F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & _near(percent) & reach)
+             .groupBy("a", F.col("node").alias("b"), "n", "n_a").agg(F.count("*").alias("shared"))
+             .where(F.col("shared") >= least).select("a", "b"))
     found = common.stored(verified(common.stored(pairs, spark), whole, places, words, percent), spark)
     roots = common.connected(edges.union(found), spark)
     return sets.select("doc_id", "node", "n"), roots
 
 
-def _labelled(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    return (lists.join(roots, lists["node"] == roots["node"], "left")
-            .select(lists["key"], lists["node"], lists["n"], F.coalesce("root", lists["node"]).alias("root")))
+def _near(percent: int) -> Column:
+    return 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+
+
+def _least(percent: int) -> tuple[Column, Column]:
+    """Overlap t of two sets that link, and how many keys they share at least in prefixes longer by as many: a twentieth
+    of the smaller set, but no more than the listed prefixes reach."""
+    n, m = F.col("n"), F.col("n_a")
+    t = F.ceil(percent * (n + m) / (100 + percent))
+    most = F.greatest(F.ceil(percent * n / 100), F.ceil(percent * m / 100)) - 1
+    return t, F.greatest(F.lit(1), F.least(F.floor(F.least(n, m) / 20), t - most))
+
+
+def _open_lists(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists whose members are in several components, each member with its component."""
+    if roots is None:
+        return lists.withColumn("root", F.col("node"))
+    members = (lists.join(roots, lists["node"] == roots["node"], "left")
+               .select(*[lists[c] for c in lists.columns], F.coalesce("root", lists["node"]).alias("root")))
+    mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return members.join(mixed, "key")
+
+
+def _crossing(members: DataFrame) -> float:
+    """Pairs of list members that are in different components, counted without forming them."""
+    parts = members.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    whole = parts.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
+    return whole.agg(F.sum("p")).first()[0] or 0.0
+
+
+def _with_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
+    """Each member with the leader of its lists, a for the leader; the leader differs from one step to the next."""
+    rank = F.col("node") if step == 0 else F.xxhash64("node", "key", F.lit(step))
+    chosen = members.withColumn("rank", rank)
+    least = chosen.groupBy("key").agg(F.min("rank").alias("rank"))
+    leaders = (chosen.join(least, ["key", "rank"]).dropDuplicates(["key"])
+               .select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
+                       F.col("root").alias("root_a")))
+    t, _ = _least(percent)
+    reach = (F.col("place") <= F.col("n") - t) & (F.col("place_a") <= F.col("n_a") - t)
+    return (members.join(leaders, "key").where((F.col("root") != F.col("root_a")) & _near(percent) & reach)
+            .select("a", F.col("node").alias("b")).distinct())
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
