@@ -217,14 +217,16 @@ def _cut_down(contexts: DataFrame, length: int) -> DataFrame:
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for anchor, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for i, h in enumerate(wordhash.run_hashes(wordhash.hashed(text), length).view(np.int64).tolist()):
-                rows.append((anchor, digest, i, h))
+            hashes, turn = np.unique(wordhash.run_hashes(wordhash.hashed(text), length).view(np.int64), return_inverse=True)
+            order = np.argsort(turn, kind="stable").astype(np.int32)
+            parts = np.split(order, np.cumsum(np.bincount(turn))[:-1])  # where each distinct window starts
+            rows += zip([anchor] * len(hashes), [digest] * len(hashes), parts, hashes.tolist(), strict=True)
         columns = zip(*rows, strict=True) if rows else [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(
-            columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["anchor", "digest", "at", "hash"])
+            columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64()), strict=True)], ["anchor", "digest", "at", "hash"])
 
-    kept = (common.per_slice(whole.select("anchor", "digest", "words"), places, "anchor long, digest long, at int, hash long")
-            .join(repeated, "hash").groupBy("anchor", "digest").agg(F.collect_set("at").alias("kept")))
+    kept = (common.per_slice(whole.select("anchor", "digest", "words"), places, "anchor long, digest long, at array<int>, hash long")
+            .join(repeated, "hash").groupBy("anchor", "digest").agg(F.flatten(F.collect_list("at")).alias("kept")))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
