@@ -53,7 +53,8 @@ def grams(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     signs = np.where(letters, codes, 1).astype(np.uint64)
     signs = signs[letters | np.append(True, letters[:-1])]  # one sign for each run of others
-    signs = np.concatenate([[np.uint64(1)], signs, [np.uint64(1)]])
+    inner = signs[int(signs[0] == 1) : len(signs) - int(signs[-1] == 1)]
+    signs = np.concatenate([[np.uint64(1)], inner, [np.uint64(1)]])
     out, gram = [signs], signs
     for _ in range(1, ORDERS):
         gram = (gram[:-1] << np.uint64(_BITS)) | signs[len(signs) - len(gram) + 1 :]
