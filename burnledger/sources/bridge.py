@@ -163,7 +163,8 @@ class BridgeSource:
 
     def _spans(self) -> DataFrame:
         """Each contract with its calendar's last day: the clock's, or that of later usage."""
-        last = self.cube.groupBy(CONTRACT).agg(F.max(DAY).alias("__last"))
+        spent = F.when(F.col("spend").isNotNull(), F.col(DAY))  # the same columns as totals need: one shared aggregate
+        last = self.cube.groupBy(CONTRACT).agg(F.max(spent).alias("__last"))
         return self.organisations.join(last, CONTRACT, "left").select(
             CONTRACT, F.greatest(F.lit(self.last_day), F.col("__last")).alias("last_day"))
 
