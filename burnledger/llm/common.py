@@ -52,7 +52,7 @@ def connected(edges: DataFrame, spark: SparkSession) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(large.where("u <> v").distinct(), spark)
+        now = large.where("u <> v").distinct()
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         small = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stored(small.union(least.select("u", F.col("m").alias("v"))).select(
