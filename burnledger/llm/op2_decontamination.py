@@ -2,9 +2,10 @@
 
 Texts are compared lower-cased, with every run of other characters than letters and digits as one blank. An item of m
 characters may differ from a passage by k = floor(m * error share) insertions, deletions and substitutions. Cut into
-k + 1 pieces, at least one piece is hit exactly; all pieces of a block of items are searched in one pass with an
-Aho-Corasick automaton. Around each hit, Myers' bit-parallel algorithm finds the passage with the least distance; a
-region is verified once, however many pieces hit it.
+k + 2 pieces, at least two pieces are hit exactly, at places that differ from those in the item by amounts at most k
+apart; all pieces of a block of items are searched in one pass with an Aho-Corasick automaton. Around each such pair of
+hits, Myers' bit-parallel algorithm finds the passage with the least distance; a region is verified once, however many
+pieces hit it.
 
 Items are the query set: they are read in blocks of bounded size, each block is sent to all tasks, and every document
 is read past it. Documents are never shuffled.
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from burnledger.llm import common
 
 ERROR_SHARE = 0.1
-LEAST_PIECE = 16  # characters; the budget is never larger than pieces of this size allow
 BLOCK_CHARS = 4_000_000  # of item text that a task holds at a time
 LEAST_ITEM = 24  # shorter items occur by chance and are not searched
 SCHEMA = "doc_id long, item_id long, distance int, start long, length long"
@@ -36,12 +36,13 @@ def normal(text: str | None) -> str:
 
 def budget(size: int, share: float = ERROR_SHARE) -> int:
     """Errors allowed for an item of this size."""
-    return max(0, min(int(size * share), size // LEAST_PIECE - 1))
+    return int(size * share)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
-    """The item cut into errors + 1 pieces of nearly equal size, with their places."""
-    cuts = [len(item) * i // (errors + 1) for i in range(errors + 2)]
+    """The item cut into errors + 2 pieces of nearly equal size, with their places; whole if it has no errors."""
+    n = errors + 2 if errors else 1
+    cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -103,22 +104,18 @@ class Index:
         """(item id, distance, start, length) of the best passage of each item in a normalised text."""
         if not self.items or not text:
             return []
-        regions: dict[int, list[list[int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (size, found) in self.automaton.iter(text):
             start = end - size + 1
             for k, at in found:
-                errors = self.errors[k]
-                low, high = max(0, start - at - errors), min(len(text), start - at + len(self.items[k]) + errors)
-                spans = regions.setdefault(k, [])
-                # Hits come in order of their ends, so a region that overlaps does so with the last few only.
-                if spans and low <= spans[-1][1] and high >= spans[-1][0]:
-                    spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
+                if k in hits:
+                    hits[k].append((start - at, at))
                 else:
-                    spans.append([low, high])
+                    hits[k] = [(start - at, at)]
         out = []
-        for k, spans in regions.items():
+        for k, places in hits.items():
             size, best = len(self.items[k]), None
-            for low, high in spans:
+            for low, high in self._regions(k, places, len(text)):
                 distance, end = nearest(self.masks[k], size, text[low:high])
                 if distance <= self.errors[k] and (best is None or distance < best[0]):
                     # The same passage read backwards from its end gives its start.
@@ -132,6 +129,29 @@ class Index:
         return out
 
 
+    def _regions(self, k: int, places: list[tuple[int, int]], size: int) -> list[list[int]]:
+        """Where passages within the budget can be: around two different pieces whose shifts are at most the budget apart.
+
+        Between two pieces of a passage that are hit, in order of their shifts, there may be other hits; two of them that
+        follow each other are of different pieces, and the region around either holds the passage.
+        """
+        errors, length = self.errors[k], len(self.items[k])
+        if not errors:
+            return [[shift, shift + length] for shift, _ in places]
+        if len(places) < 2:
+            return []
+        places.sort()
+        spans: list[list[int]] = []
+        for (shift, at), (after, other) in zip(places, places[1:], strict=False):
+            if at != other and after - shift <= errors:
+                low, high = max(0, shift - errors), min(size, after + length + errors)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(high, spans[-1][1])
+                else:
+                    spans.append([low, high])
+        return spans
+
+
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items, normalised, in blocks of bounded size; null ids and items that are too short are left out."""
     rows = items.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")) \

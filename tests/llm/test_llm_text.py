@@ -129,6 +129,25 @@ def test_decontamination(spark, texts, odd, nothing):
     assert op2_decontamination.find(nothing, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_finds_all_within_the_share(spark):
+    draw = np.random.default_rng(5)
+    items, docs, wanted = [], [], {}
+    for k, size in enumerate([24, 30, 32, 47, 80, 110, 224, 384] * 4):
+        item = op2_decontamination.normal(" ".join("".join(draw.choice(list("abcdefgh"), draw.integers(2, 9))) for _ in range(100))[:size])
+        letters, allowed = list(item), int(len(item) * op2_decontamination.ERROR_SHARE)
+        for at in np.linspace(len(letters) - 2, 1, allowed).astype(int):  # evenly spread, so that few long pieces are left whole
+            letters[at : at + 1] = [[], ["z"], [letters[at], "z"]][int(draw.integers(0, 3))]
+        items.append((k, item))
+        docs.append((k, f"before it {''.join(letters)} after it"))
+        wanted[k, k] = _edits(item, op2_decontamination.normal(docs[-1][1]))
+        assert wanted[k, k] <= allowed
+    assert any(d > max(0, len(dict(items)[k]) // 16 - 1) for (k, _), d in wanted.items())
+    passages, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in op2_decontamination.find(passages, bench).collect()}
+    assert got == wanted
+    assert op2_decontamination.clean(passages, bench).count() == 0
+
+
 # ---------------------------------------------------------------- licences
 
 def test_licenses_against_sql(spark, odd, nothing):
