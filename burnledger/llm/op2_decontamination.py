@@ -25,7 +25,7 @@ from burnledger.llm import common
 
 ERROR_SHARE = 0.1
 BLOCK_CHARS = 4_000_000  # of item text that a task holds at a time
-LEAST_ITEM = 24  # shorter items occur by chance and are not searched
+LEAST_ITEM = 24  # shorter items are searched without errors, and as whole words
 SCHEMA = "doc_id long, item_id long, distance int, start long, length long"
 _OTHER = re.compile(r"[\W_]+")
 
@@ -87,7 +87,7 @@ class Index:
     def __post_init__(self) -> None:
         import ahocorasick
 
-        self.errors = [budget(len(t), self.share) for t in self.items]
+        self.errors = [budget(len(t), self.share) if len(t) >= LEAST_ITEM else 0 for t in self.items]
         self.masks = [patterns(t) for t in self.items]
         self.back = [patterns(t[::-1]) for t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
@@ -115,7 +115,7 @@ class Index:
         out = []
         for k, places in hits.items():
             size, best = len(self.items[k]), None
-            for low, high in self._regions(k, places, len(text)):
+            for low, high in self._regions(k, places, text):
                 distance, end = nearest(self.masks[k], size, text[low:high])
                 if distance <= self.errors[k] and (best is None or distance < best[0]):
                     # The same passage read backwards from its end gives its start.
@@ -129,7 +129,7 @@ class Index:
         return out
 
 
-    def _regions(self, k: int, places: list[tuple[int, int]], size: int) -> list[list[int]]:
+    def _regions(self, k: int, places: list[tuple[int, int]], text: str) -> list[list[int]]:
         """Where passages within the budget can be: around two different pieces whose shifts are at most the budget apart.
 
         Between two pieces of a passage that are hit, in order of their shifts, there may be other hits; two of them that
@@ -137,14 +137,15 @@ class Index:
         """
         errors, length = self.errors[k], len(self.items[k])
         if not errors:
-            return [[shift, shift + length] for shift, _ in places]
+            return [[shift, shift + length] for shift, _ in places if length >= LEAST_ITEM or
+                    (text[shift - 1 : shift] in ("", " ") and text[shift + length : shift + length + 1] in ("", " "))]
         if len(places) < 2:
             return []
         places.sort()
         spans: list[list[int]] = []
         for (shift, at), (after, other) in zip(places, places[1:], strict=False):
             if at != other and after - shift <= errors:
-                low, high = max(0, shift - errors), min(size, after + length + errors)
+                low, high = max(0, shift - errors), min(len(text), after + length + errors)
                 if spans and low <= spans[-1][1]:
                     spans[-1][1] = max(high, spans[-1][1])
                 else:
@@ -153,13 +154,13 @@ class Index:
 
 
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items, normalised, in blocks of bounded size; null ids and items that are too short are left out."""
+    """The items, normalised, in blocks of bounded size; null ids and items without letters or digits are left out."""
     rows = items.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")) \
         .where("id IS NOT NULL AND text IS NOT NULL")
     block, held = [], 0
     for row in rows.toLocalIterator():
         text = normal(row["text"])
-        if len(text) < LEAST_ITEM:
+        if not text:
             continue
         block.append((row["id"], text))
         held += len(text)
@@ -175,7 +176,7 @@ def find(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, id_col:
     """A row for each document and item that it holds: distance, and start and length in the normalised text.
 
     A document that holds an item several times gets its best (first) passage. Rows that repeat a document or an item
-    repeat the result. Null or empty documents and items hold nothing and match nothing; empty tables give no rows.
+    repeat the result. Items of under LEAST_ITEM normalised characters are found as whole words without errors only. Null or empty documents and items hold nothing and match nothing; empty tables give no rows.
     """
     rows, out = common.keyed(docs, id_col, text_col).where("text IS NOT NULL"), None
     for block in blocks(items, item_id, item_text):
@@ -214,7 +215,10 @@ def _index(shared, share: float) -> Index:  # noqa: ANN001
 
 def clean(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows whose text holds an item; each row is judged by its own text, columns stay as they are."""
+    """docs without the rows whose text holds an item; each row is judged by its own text, columns stay as they are.
+
+    Items of under LEAST_ITEM normalised characters are found as whole words without errors only, however common they are.
+    """
     at, out = docs.columns.index(text_col), docs
     for block in blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)

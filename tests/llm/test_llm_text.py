@@ -148,6 +148,15 @@ def test_decontamination_finds_all_within_the_share(spark):
     assert op2_decontamination.clean(passages, bench).count() == 0
 
 
+def test_decontamination_finds_short_items_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "Ünder"), (3, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Q: what is 2 + 2"), (2, "what is 2+22"), (3, "somewhat is 2+2"), (4, "founder, Under"),
+                                  (5, "ünder"), (6, "what is 2+22, what is 2+2!"), (7, "what is 2+3")], "doc_id long, text string")
+    got = op2_decontamination.find(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance, r.start, r.length) for r in got} == {(1, 1, 0, 2, 11), (5, 2, 0, 0, 5), (6, 1, 0, 13, 11)}
+    assert {r.doc_id for r in op2_decontamination.clean(docs, bench).collect()} == {2, 3, 4, 7}
+
+
 # ---------------------------------------------------------------- licences
 
 def test_licenses_against_sql(spark, odd, nothing):
