@@ -243,6 +243,27 @@ def test_fingerprints_add_and_take_away(spark):
     assert of(a).first().v != of(a + "\nsecond line").first().v
 
 
+def test_fingerprints_stay_alike_after_insertions_and_without_blanks(spark):
+    draw = np.random.default_rng(4)
+    names = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 9))) for _ in range(2000)]
+    words = draw.choice(names, 400).tolist()
+    spread = list(words)
+    for at in sorted(draw.choice(400, 8, replace=False).tolist(), reverse=True):
+        spread.insert(at, "inserted")
+    han, kana = ("".join(map(chr, draw.integers(a, b, 800))) for a, b in ((0x4E00, 0x9FA0), (0x3041, 0x30FB)))
+    solid = "".join(words)
+    cases = {"front": (" ".join(words), "one " + " ".join(words), 0.9, 1), "gone": (" ".join(words), " ".join(words[1:]), 0.9, 1),
+             "spread": (" ".join(words), " ".join(spread), 0.8, 1), "other": (" ".join(words), " ".join(draw.choice(names, 400)), 0, 0.35),
+             "han": (han, han[:600] + han[:200][::-1], 0.55, 0.95), "han front": (han, "\u4e2d" + han, 0.9, 1),
+             "kana": (kana, kana[:600] + kana[:200][::-1], 0.55, 0.95), "kana front": (kana, "\u306e" + kana, 0.9, 1),
+             "solid": (solid, "x" + solid, 0.8, 1)}
+    rows = spark.createDataFrame([(k, side, v[side]) for k, v in cases.items() for side in (0, 1)], "k string, side int, t string")
+    made = prints.vectors(rows, ["k", "side"], "t").select("k", "side", prints.vector().alias("v"))
+    pairs = made.where("side = 0").select("k", F.col("v").alias("x")).join(made.where("side = 1").select("k", F.col("v").alias("y")), "k")
+    got = {r.k: r.near for r in pairs.select("k", prints.likeness(F.col("x"), F.col("y")).alias("near")).collect()}
+    assert not {k: near for k, near in got.items() if not cases[k][2] <= near <= cases[k][3]}
+
+
 # ---------------------------------------------------------------- similarity join
 
 def _components(rows):
