@@ -1,13 +1,16 @@
 """License scan by canonical digests, in built-in functions only.
 
 A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings replaced, everything
-but letters and digits as one blank. The digest of a whole canonical text, and of each whole line of it, is looked up
-among the digests of known licence texts with an equality join. Nothing is searched for inside a line, so ordinary
+but letters and digits as one blank. The digest of a whole canonical text, and of each whole paragraph (lines up to a
+blank one) and line of it, is looked up among the digests of known licence texts with an equality join. Nothing is searched for inside a line, so ordinary
 prose that mentions a licence is left alone.
 """
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,8 @@ SPELLINGS = (
     ("judgement", "judgment"), ("merchantibility", "merchantability"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 )
 
-# Notices and short licences, as published.
+# Notices and short licences, as published. The table beside this file has the others.
+TABLE = Path(__file__).with_name("known_licenses.jsonl")
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -39,13 +43,22 @@ COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n]*(copyright( ?\\(c\\)| ?©| [0-9]{4})|\\(c\\)
 OTHER = "[^\\p{L}\\p{N}\\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form, with a line end where the text has one; a null text counts as empty."""
+def _spelled(text: Column) -> Column:
+    """Canonical but for blank lines and blanks at line ends."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
     out = F.regexp_replace(out, OTHER, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.regexp_replace(out, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+    return out
+
+
+def _closed(spelled: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(spelled, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form, with a line end where the text has one; a null text counts as empty."""
+    return _closed(_spelled(text))
 
 
 def digest(form: Column) -> Column:
@@ -53,7 +66,9 @@ def digest(form: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    """license_id and text of the licences and notices that are looked up: KNOWN and those of the table."""
+    table = [json.loads(line) for line in TABLE.read_text(encoding="utf-8").splitlines()]
+    return spark.createDataFrame([*KNOWN, *((r["license_id"], r["text"]) for r in table)], "license_id string, text string")
 
 
 def digests(licenses: DataFrame, id_col: str = "license_id", text_col: str = "text") -> DataFrame:
@@ -66,15 +81,22 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, license_id, whole (the entire text is that licence) and n_lines (lines that are) of each document with any.
 
     Rows that share an id and a licence are counted together; a null id is a group of its own. Null and empty texts
-    have no licence. A text that is in the list of two licences gives a row for each.
+    have no licence. A licence that only paragraphs of several lines are has n_lines 0. A text that is in the list of two licences gives a row for each.
     """
-    forms = common.keyed(docs, id_col, text_col).select("doc_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    spelled = common.keyed(docs, id_col, text_col).select("doc_id", _spelled(F.col("text")).alias("spelled"))
+    forms = spelled.select("doc_id", "spelled", _closed(F.col("spelled")).alias("form")).where("form <> ''")
+
+    def of(kind: str, form: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), digest(form).alias("digest"))
+
+    # A paragraph of one line is that line.
+    blocks = F.filter(F.transform(F.split("spelled", "\\n *\\n[ \\n]*"), _closed), lambda x: x.contains("\n"))
     units = forms.select("doc_id", F.explode(F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("form")).alias("digest"))),
-        F.transform(F.split("form", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))).alias("u"))
-    hits = units.select("doc_id", "u.whole", "u.digest").join(digests(licenses), "digest")
-    return hits.groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole"),
-                                                    F.count(F.when(~F.col("whole"), 1)).alias("n_lines"))
+        F.array(of("text", F.col("form"))), F.transform(blocks, lambda x: of("paragraph", x)),
+        F.transform(F.split("form", "\n"), lambda x: of("line", x)))).alias("u"))
+    hits = units.select("doc_id", "u.kind", "u.digest").join(digests(licenses), "digest")
+    return hits.groupBy("doc_id", "license_id").agg(F.max(F.col("kind") == "text").alias("whole"),
+                                                    F.count(F.when(F.col("kind") == "line", 1)).alias("n_lines"))
 
 
 def oracle() -> str:
