@@ -13,6 +13,9 @@ grows with the square of the corpus. So the corpus is sharded by content, and on
 4. Each shard builds a suffix automaton over its contexts' words, in ascending order of document, so that every state
    knows the first document of its strings. The contexts are then streamed past it: the matching statistics, held at
    `length`, give for each window the smallest document that has it.
+   Anchors that still have very many contexts (a template with a varying word, each value in two documents or more) are
+   left out of the automata, so that a shard stays bounded: their windows are dealt by their own hash, and an aggregate
+   gives the smallest document of each.
 5. Windows whose smallest document is smaller than their own are joined back, merged to maximal spans, and cut out.
 """
 
@@ -172,11 +175,13 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     contexts = common.stored(common.per_slice(rows.join(marks, "row"), list_contexts, CONTEXT_SCHEMA), spark)
     distinct = contexts.groupBy("anchor", "digest").agg(F.min("doc_id").alias("doc_id"))
     many = common.stored(distinct.groupBy("anchor").count().where(F.col("count") > MANY_CONTEXTS).select("anchor"), spark)
-    contexts = contexts.join(many, "anchor", "left_anti").select(*contexts.columns) \
-        .unionByName(_cut_down(contexts.join(many, "anchor", "left_semi").select(*contexts.columns), length))
+    cut, spread = _by_route(common.stored(_cut_down(
+        contexts.join(many, "anchor", "left_semi").select(*contexts.columns), length), spark), spark)
+    contexts = contexts.join(many, "anchor", "left_anti").select(*contexts.columns, F.lit(False).alias("spread")).unionByName(cut)
     contexts = common.stored(contexts, spark)
-    texts = contexts.groupBy("anchor", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    n_words = 2 * length * contexts.select("anchor", "digest").distinct().count()
+    single = contexts.where("NOT spread")
+    n_words = 2 * length * single.select("anchor", "digest").distinct().count()
+    texts = _distinct(single)
     shards = max(1, -(-n_words // SHARD_WORDS))
 
     def stream(frame):  # noqa: ANN001, ANN202 - pandas
@@ -189,6 +194,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     owners = (texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
               .groupBy("shard").applyInPandas(stream, "anchor long, digest long, smallest array<long>"))
+    if spread:
+        owners = owners.unionByName(_owners_by_window(_distinct(contexts.where("spread")), length, spark))
     gone = F.transform(F.filter(F.transform("smallest", lambda d, i: F.when((d >= 0) & (d < F.col("doc_id")), i)),
                                 lambda i: i.isNotNull()), lambda i: (F.col("start") + i).cast("int"))
     return (contexts.select("row", "doc_id", "anchor", "digest", "start").join(owners, ["anchor", "digest"])
@@ -196,6 +203,38 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             .groupBy("row").agg(F.flatten(F.collect_list("windows")).alias("windows")))
 
 
+def _distinct(contexts: DataFrame) -> DataFrame:
+    return contexts.groupBy("anchor", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+
+
+def _by_route(cut: DataFrame, spark) -> tuple[DataFrame, bool]:  # noqa: ANN001
+    """Marks (spread) the contexts whose anchor has more than MANY_CONTEXTS different ones; whether there are any."""
+    still = common.stored(cut.select("anchor", "digest").distinct().groupBy("anchor").count()
+                          .where(F.col("count") > MANY_CONTEXTS).select("anchor", F.lit(True).alias("found")), spark)
+    marked = cut.join(still, "anchor", "left").select(*cut.columns, F.coalesce("found", F.lit(False)).alias("spread"))
+    return marked, not still.isEmpty()
+
+
+def _owners_by_window(texts: DataFrame, length: int, spark) -> DataFrame:  # noqa: ANN001
+    """What the automata give, anchor, digest and smallest, from the hashes of the windows; equal windows have equal anchors."""
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for anchor, digest, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            hashes = wordhash.run_hashes(wordhash.hashed(text), length).view(np.int64).tolist()
+            rows += [(anchor, digest, doc_id, at, h) for at, h in enumerate(hashes)]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                                          ["anchor", "digest", "doc_id", "at", "hash"])
+
+    listed = common.stored(common.per_slice(texts.select("anchor", "digest", "doc_id", "words"), places,
+                                            "anchor long, digest long, doc_id long, at int, hash long"), spark)
+    least = listed.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"))
+    found = F.array_sort(F.collect_list(F.struct("at", "least")))
+    return (listed.join(least, ["anchor", "hash"]).groupBy("anchor", "digest")
+            .agg(F.transform(found, lambda x: x["least"]).alias("smallest")))
+
+
 def _cut_down(contexts: DataFrame, length: int) -> DataFrame:
     """The contexts cut down to runs of windows whose hash two documents have."""
     def list_windows(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -239,6 +239,25 @@ def test_substring(spark, texts, odd, nothing, many, monkeypatch):
     assert op5_substring.report(nothing).count() == 0 and op5_substring.remove(nothing).count() == 0
 
 
+def test_substring_spreads_a_template_with_a_varying_word(spark, monkeypatch):
+    monkeypatch.setattr(op5_substring, "MANY_CONTEXTS", 4)
+    head, tail = (" ".join(f"{side}{i}" for i in range(45)) for side in "ab")
+    rows = [(n * 40 + k, f"own{n}x{k} {head} value{k} {tail} own{n}x{k}") for k in range(40) for n in range(2)]
+    rows += [(1000 + k, f"{head} value{k % 3} {tail[: 20 * k]}") for k in range(6)]
+    plain, seen = op5_substring._by_route, []
+
+    def watched(*args):
+        cut, spread = plain(*args)
+        per = cut.where("NOT spread").select("anchor", "digest").distinct().groupBy("anchor").count()
+        seen.append((per.agg(F.max("count")).first()[0] or 0, cut.where("spread").count()))
+        return cut, spread
+
+    monkeypatch.setattr(op5_substring, "_by_route", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, op5_substring.report(docs).collect())) == _substring(rows)
+    assert all(most <= 4 for most, _ in seen) and any(n for _, n in seen)
+
+
 def test_substring_keeps_other_columns(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, "head\n" + passage, "a"), (2, "tail\t" + passage + "  end", "b")], "doc_id long, text string, words string")
