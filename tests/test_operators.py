@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from burnledger.operators import audits, config, drawdown, joins, markup, pricing, shared, usage
 from burnledger.sources import schemas
 from burnledger.sources.schemas import CONSUMER, CONTRACT, ORG
-from conftest import balance_rows, billing, item_rows, mapping_rows, rate_rows, table, usage_rows
+from billing_rows import balance_rows, billing, item_rows, mapping_rows, rate_rows, table, usage_rows
 
 DAY = dt.date
 RATES = [("A", "0.03", DAY(2025, 5, 1), DAY(2025, 6, 30)), ("A", "0.04", DAY(2025, 7, 1), None)]

@@ -9,7 +9,7 @@ from burnledger.operators.usage import daily_cube
 from burnledger.plans import common, customer, portfolio
 from burnledger.plans.customer import PublishedTables
 from burnledger.sources.schemas import CONSUMER, CUSTOMER
-from conftest import balance_rows, billing, item_rows, mapping_rows, rate_rows, table, usage_rows
+from billing_rows import balance_rows, billing, item_rows, mapping_rows, rate_rows, table, usage_rows
 from burnledger.sources import schemas
 from burnledger.sources.bridge import BridgeSource
 

@@ -10,7 +10,7 @@ from burnledger.plans.customer import PublishedTables
 from burnledger.sources import schemas, tables
 from burnledger.sources.bridge import AS_OF, BridgeSource
 from burnledger.sources.schemas import CONSUMER, CONTRACT, CUSTOMER, ORG
-from conftest import mapping_rows, rate_rows, usage_rows
+from billing_rows import mapping_rows, rate_rows, usage_rows
 
 DAY = dt.date
 SF = "/root/testdata/sf0.001"
