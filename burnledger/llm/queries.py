@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op2_decontamination, op3_license, op4_token_counts, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids
+from burnledger.llm import op1_language, op2_decontamination, op3_license, op4_token_counts, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids, op11_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_binary_ids.token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_simhash.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language_query,
     "op2_decontamination": op2_decontamination_query,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprint": op8_fingerprint_query,
     "op9_jaccard": op9_jaccard_query,
     "op10_binary_ids": op10_binary_query,
+    "op11_simhash": op11_simhash_query,
 }
 
 ORACLES: dict[str, str] = {"op3_license": op3_license.oracle()}
