@@ -34,6 +34,7 @@ WIDTH = 64
 CROWD = 4_096  # fingerprints of a key that are compared with each other
 FEW = 16  # up to here all links of a key are reported, beyond it only a spanning forest
 COMPARED = 16  # comparisons that cost as much as one more key
+LEAST_KEPT = 2  # blocks in a key: one block alone has 12 bits, which is crowded from 10^5 fingerprints on
 MOST_BLOCKS = 16
 PART = 1 << 17  # shingles that are hashed at a time
 
@@ -77,7 +78,7 @@ def blocks_for(n: int, bits: int = BITS) -> int:
         company = n / 2.0 ** (WIDTH * (blocks - bits) / blocks)
         return math.comb(blocks, bits) * (1 + company / COMPARED)
 
-    return min(range(bits + 1, max(bits + 2, MOST_BLOCKS + 1)), key=cost)
+    return min(range(bits + LEAST_KEPT, max(bits + LEAST_KEPT, MOST_BLOCKS) + 1), key=cost)
 
 
 def near_points(prints: DataFrame, bits: int = BITS) -> DataFrame:

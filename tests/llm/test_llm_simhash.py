@@ -67,7 +67,7 @@ def test_close_prints_share_a_key(x, flips, blocks):
 
 def test_blocks_follow_the_count():
     chosen = [simhash.blocks_for(n) for n in (0, 10, 10**4, 10**6, 10**8, 10**10)]
-    assert chosen == sorted(chosen) and chosen[0] == 5 and chosen[-1] > 6
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] > 7
 
 
 def _clouds(draw, n):
