@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnledger.llm import op1_language, op2_decontamination, op3_license, op4_token_counts, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids, op11_simhash, op13_runs
+from burnledger.llm import op1_language, op2_decontamination, op3_license, op4_token_counts, op5_substring, op6_packing, op7_quality, op8_fingerprint, op9_jaccard, op10_binary_ids, op11_simhash, op12_spelling, op13_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op11_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_spelling.report(table(spark, sf_dir, "documents"))
+
+
 def op13_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_runs.report(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard": op9_jaccard_query,
     "op10_binary_ids": op10_binary_query,
     "op11_simhash": op11_simhash_query,
+    "op12_spelling": op12_spelling_query,
     "op13_runs": op13_runs_query,
 }
 
