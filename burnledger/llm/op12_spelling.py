@@ -36,7 +36,7 @@ SHARD_ROWS = 60_000  # listings of words that a shard holds on average
 HOT = 20_000  # listings of a key from which it is refined
 HELD_WORDS = 200_000  # distinct words that a task counts before it hands them on
 BLOCK_CELLS = 1 << 18  # code points of the queries that are searched together
-STEP = 64  # places between counts that the index keeps
+STEP = 16  # places between counts that the index keeps
 _END, _DELIMITER, _FIRST = 0, 1, 2  # symbols: before the text, between words, of the least letter
 
 
@@ -122,10 +122,13 @@ class Side:
         self._before[1:, 1:] = np.cumsum(np.cumsum(own, axis=0), axis=1)[:, :-1]
         self.first = self._before[-1].astype(np.int64)
 
-    def less(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def ranks(self, symbol: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many symbols before the place are less than the given one, and how many equal it."""
         block, rest = place // STEP, place % STEP
-        near = (self._blocks[block] < symbol[:, None]) & (np.arange(STEP) < rest[:, None])
-        return self._before[block, symbol] + near.sum(axis=1)
+        near, inside = self._blocks[block], np.arange(STEP) < rest[:, None]
+        less, equal = ((test(near, symbol[:, None]) & inside).sum(axis=1) for test in (np.less, np.equal))
+        before = self._before[block, symbol]
+        return before + less, self._before[block, symbol + 1] - before + equal
 
     def less_all(self, place: np.ndarray) -> np.ndarray:
         """For every symbol; a row for each place."""
@@ -169,12 +172,11 @@ class Index:
     def extend(self, state: np.ndarray, symbol: np.ndarray, right: int) -> np.ndarray:
         """Patterns grown by a symbol, at the right end (1) or the left (0)."""
         side, own, other = self.sides[right], state[:, right], state[:, 1 - right]
-        below = [side.less(symbol, place) for place in (own, own + state[:, 2])]
-        upto = [side.less(symbol + 1, place) for place in (own, own + state[:, 2])]
+        (below, rank), (below_end, rank_end) = side.ranks(symbol, own), side.ranks(symbol, own + state[:, 2])
         out = np.empty_like(state)
-        out[:, right] = side.first[symbol] + upto[0] - below[0]
-        out[:, 1 - right] = other + below[1] - below[0]
-        out[:, 2] = (upto[1] - below[1]) - (upto[0] - below[0])
+        out[:, right] = side.first[symbol] + rank
+        out[:, 1 - right] = other + below_end - below
+        out[:, 2] = rank_end - rank
         return out
 
     def branch(self, state: np.ndarray, right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,17 +212,21 @@ class Index:
         while len(at) or len(wrong_at):
             open_ = np.flatnonzero((exact[:, 2] > 0) & (place[at] <= stop[at]))
             row, letter, grown = self.branch(exact[open_], right)
-            inserted = at[open_][row]
-            replaces = (letter != codes[inserted, place[inserted]]) & (place[inserted] < stop[inserted])
-            drops = open_[place[at[open_]] < stop[at[open_]]]
-            wrong_at, wrong = np.concatenate([wrong_at, inserted]), np.concatenate([wrong, grown])
+            grows = at[open_][row]
+            inner, follows = place[grows] < stop[grows], letter != codes[grows, place[grows]]
+            # Of equal letters in a row the last is inserted or dropped, so that each pattern comes once.
+            inserts, replaces = follows | ~inner, follows & inner
+            here = place[at[open_]]
+            drops = open_[(here < stop[at[open_]]) & ((here + 1 >= stop[at[open_]])
+                          | (codes[at[open_], here] != codes[at[open_], np.minimum(here + 1, codes.shape[1] - 1)]))]
+            wrong_at, wrong = np.concatenate([wrong_at, grows[inserts]]), np.concatenate([wrong, grown[inserts]])
             ahead = codes[wrong_at, place[wrong_at]]  # the delimiter, where the query ends
             ended, wrong = place[wrong_at] >= size[wrong_at], self.extend(wrong, ahead, right)
             alive = wrong[:, 2] > 0
             done = alive & ended
             out.append(np.stack([wrong_at[done], self.words_at(wrong[done])], axis=1))
             going = alive & ~ended
-            wrong_at = np.concatenate([wrong_at[going], inserted[replaces], at[drops]])
+            wrong_at = np.concatenate([wrong_at[going], grows[replaces], at[drops]])
             wrong = np.concatenate([wrong[going], grown[replaces], exact[drops]])
             on = np.flatnonzero((exact[:, 2] > 0) & (place[at] < np.minimum(stop[at], size[at])))
             exact = self.extend(exact[on], codes[at[on], place[at[on]]], right)

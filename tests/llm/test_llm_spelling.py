@@ -146,8 +146,7 @@ def test_query_against_all_words(spark, texts):
 
 def test_odd_rows(spark, odd, nothing):
     repeated = odd.union(odd).union(odd)
-    got = {r.word: r.n for r in spelling.vocabulary(repeated).collect()}
-    assert got == {"friend": 3, "words": 6, "again": 6, "another": 3, "lines": 3, "quotes": 3, "nïcode": 3} or got == _plain(repeated)
+    assert {r.word: r.n for r in spelling.vocabulary(repeated).collect()} == _plain(repeated)
     assert spelling.report(nothing).collect() == []
     long = "a" * 5000
     docs = spark.createDataFrame([(i, f"{long} {long}b x{long} ÀÀÀÀÀ") for i in range(3)], "doc_id long, text string")
