@@ -11,9 +11,10 @@ from pyspark.sql.types import DecimalType
 from burnledger.functions.scalars import MONEY_SUM, safe_ratio
 from burnledger.operators.config import MAX_MARKUP
 from burnledger.operators.joins import lookup_join
-from burnledger.operators.markup import active, markup_list, percent_points
+from burnledger.operators.markup import active, factor, markup_list, percent_points
+from burnledger.operators.shared import USAGE_SCALES
 from burnledger.operators.usage import DAY
-from burnledger.sources.schemas import CONSUMER, CUSTOMER, ORG
+from burnledger.sources.schemas import CONSUMER, CUSTOMER, ORG, QUANTITY
 
 OPEN_END = dt.date(9999, 12, 31)
 
@@ -99,6 +100,39 @@ def reconcile(raw_usage: DataFrame, shared_usage: DataFrame) -> DataFrame:
         F.when(gap.isNotNull(), safe_ratio(gap, F.col("raw_total"))).alias("implied_markup"))
 
 
+def reconcile_markup(usage: DataFrame, mapping: DataFrame, rates: DataFrame) -> DataFrame:
+    """Raw and marked-up totals per organisation, and the markup they imply, from one pass over the usage rows.
+
+    Each row meets the rates of its day and carries both amounts. Where rates
+    overlap it comes once for each: sums are kept apart by rate, so that the raw
+    one counts once a day and the marked-up ones count all, times the
+    consumers that are shown the rows. Organisations without a consumer keep
+    an empty shared total.
+    """
+    named = rates.withColumn("__rate", F.struct("effective_from", "effective_to", "markup_pct"))
+    lookup = (active(named).groupBy(ORG, "__rate").agg(F.count("*").alias("__times"))
+              .select(F.col(ORG).alias("__org"), "__rate", "__times"))
+    rows = lookup_join(usage.select(ORG, DAY, "usage_in_currency"), lookup, {ORG: "__org"}, "left",
+                       lambda u, r: (u[DAY] >= r["__rate.effective_from"])
+                       & (r["__rate.effective_to"].isNull() | (u[DAY] <= r["__rate.effective_to"])), [DAY])
+    marked = F.round(F.col("usage_in_currency") * factor(F.col("__rate.markup_pct")), USAGE_SCALES["usage_in_currency"])
+    by_rate = rows.groupBy(ORG, DAY, "__rate", "__times").agg(
+        F.sum("usage_in_currency").alias("raw"), F.sum(marked.cast(QUANTITY)).alias("shown"))
+    by_day = by_rate.groupBy(ORG, DAY).agg(
+        F.max("raw").alias("raw"), F.sum(F.col("shown") * F.coalesce("__times", F.lit(1))).alias("shown"))
+    totals = by_day.groupBy(ORG).agg(F.sum("raw").alias("raw_total"), F.sum("shown").alias("shown"))
+    consumers = active(mapping).groupBy(F.col(ORG).alias("__org")).agg(F.count_distinct(CONSUMER).alias("consumers"))
+    both = lookup_join(totals, consumers, {ORG: "__org"}, "left").withColumn(
+        "shared_total", (F.col("shown") * F.col("consumers")).cast(MONEY_SUM))
+    gap = F.col("shared_total") - F.col("raw_total")
+    return both.select(
+        ORG,
+        F.round("raw_total", 2).cast(DecimalType(38, 2)).alias("raw_total"),
+        F.round("shared_total", 2).cast(DecimalType(38, 2)).alias("shared_total"),
+        gap.cast(MONEY_SUM).alias("difference"),
+        F.when(gap.isNotNull(), safe_ratio(gap, F.col("raw_total"))).alias("implied_markup"))
+
+
 def config_gaps(usage: DataFrame, mapping: DataFrame, rates: DataFrame) -> DataFrame:
     """Where consumers would see nothing, or raw prices.
 

@@ -9,6 +9,8 @@ from burnledger.sources.schemas import CONTRACT, CUSTOMER, ORG
 
 DAY = "usage_date"
 DAILY_KEYS = [ORG, CUSTOMER, CONTRACT, DAY]
+ACCOUNT = "account_name"
+MEASURES = ["spend", "credits", "n_rows"]
 
 
 def spend_by(usage: DataFrame, *keys: str | Column) -> DataFrame:
@@ -17,14 +19,56 @@ def spend_by(usage: DataFrame, *keys: str | Column) -> DataFrame:
                                     F.sum("usage").alias("credits"))
 
 
-def daily_cube(usage: DataFrame) -> DataFrame:
-    """Spend and credits per contract and day: the one pass over the usage table.
+def measures(usage: DataFrame) -> DataFrame:
+    """Usage rows under the names of an aggregate, as its finest form: reports sum either in the same way."""
+    return usage.select(*DAILY_KEYS, ACCOUNT, "service_type", "usage_type", F.col("usage_in_currency").alias("spend"),
+                        F.col("usage").alias("credits"), F.col("usage_in_currency").isNotNull().cast("bigint").alias("n_rows"))
+
+
+def summed(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Measures per group."""
+    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
+def _whole(cube: DataFrame) -> DataFrame:
+    """The same rows, by a filter that refers to all measures and is true of every row.
+
+    Parts of a report that use different measures thus still share one
+    aggregate; otherwise each would be pruned to its own columns and the usage
+    rows scanned again.
+    """
+    return cube.filter(F.coalesce("spend", "credits").isNotNull() | (F.col("n_rows") >= 0))
+
+
+def daily_cube(rows: DataFrame) -> DataFrame:
+    """Measures per contract and day: the one pass over the usage table.
 
     Totals, burn rates, cumulative curves and balances all start here, so that
     a report that needs several of them shuffles the usage table once. A group
     has one row per contract and day, however many usage rows a customer has.
     """
-    return spend_by(usage, *DAILY_KEYS)
+    return _whole(summed(rows, *DAILY_KEYS))
+
+
+def grains(rows: DataFrame) -> DataFrame:
+    """Measures per contract and day (grain 0) and per customer's account (grain 1), from one scan and one shuffle.
+
+    Each row is summed once for either grain. The grain is given as an aggregate
+    of itself: a filter on it stays above the sums, which all readers share.
+    """
+    tagged = rows.withColumn("__g", F.explode(F.array(F.lit(0), F.lit(1))))
+    days, accounts = F.col("__g") == 0, F.col("__g") == 1
+    keys = [F.when(days, F.col(k)).alias(k) if k != CUSTOMER else F.col(k) for k in DAILY_KEYS]
+    return tagged.groupBy("__g", *keys, F.when(accounts, F.col(ACCOUNT)).alias(ACCOUNT)).agg(
+        F.max("__g").alias("grain"), *[F.sum(m).alias(m) for m in MEASURES]).drop("__g")
+
+
+def contract_days(by_grain: DataFrame) -> DataFrame:
+    return _whole(by_grain.filter("grain = 0").select(*DAILY_KEYS, *MEASURES))
+
+
+def account_totals(by_grain: DataFrame) -> DataFrame:
+    return _whole(by_grain.filter("grain = 1").select(CUSTOMER, ACCOUNT, *MEASURES))
 
 
 def daily_spend(usage: DataFrame, contract: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from burnledger.functions.labels import days_label, percent_label
 from burnledger.functions.scalars import MONEY_SUM, magnitude_if_negative, mean, or_zero, percent_of
 from burnledger.operators.joins import fold_rows
 from burnledger.operators.markup import first_markup_by_customer, markup_list, percent_points
-from burnledger.operators.usage import DAY, daily_cube, daily_totals, latest_per, running_total, spend_by
+from burnledger.operators.usage import DAY, daily_totals, latest_per, running_total, summed
 from burnledger.plans.common import (
     BURN_DAYS, LATEST, NO_FORECAST, alerts, assess, burn_rate, entitlements, usage_profile,
     whole_days, with_fallback,
@@ -35,16 +35,20 @@ def money(value: Column) -> Column:
     return value.cast(MONEY_SUM)
 
 
+def _last_rows(src: Billing) -> DataFrame:
+    """The last balance row of each customer's contracts; both readings of it share one pass over the balances."""
+    return latest_per(src.balances.select(CUSTOMER, CONTRACT, "date", *BALANCE_COLUMNS), [CUSTOMER, CONTRACT], ["date"],
+                      ["date", *BALANCE_COLUMNS])
+
+
 def latest_balances(src: Billing) -> DataFrame:
     """The last balance row of each contract."""
-    return latest_per(src.balances.select(CUSTOMER, CONTRACT, "date", *BALANCE_COLUMNS), [CONTRACT], ["date"],
-                      [CUSTOMER, "date", *BALANCE_COLUMNS])
+    return latest_per(_last_rows(src), [CONTRACT], ["date"], [CUSTOMER, "date", *BALANCE_COLUMNS])
 
 
 def customer_latest(src: Billing) -> DataFrame:
     """The last balance row of each customer; on equal dates the greatest contract number."""
-    return latest_per(src.balances.select(CUSTOMER, CONTRACT, "date", *BALANCE_COLUMNS),
-                      [CUSTOMER], ["date", CONTRACT], list(LATEST.values())).select(
+    return latest_per(_last_rows(src), [CUSTOMER], ["date", CONTRACT], list(LATEST.values())).select(
         CUSTOMER, *[F.col(column).alias(name) for name, column in LATEST.items()])
 
 
@@ -53,7 +57,7 @@ def _markups(src: Billing, clock: Clock) -> DataFrame:
 
 
 def _customer_daily(src: Billing) -> DataFrame:
-    return daily_totals(daily_cube(src.usage), CUSTOMER)
+    return daily_totals(src.cube, CUSTOMER)
 
 
 # ------------------------------------------------------------- whole portfolio
@@ -65,12 +69,12 @@ def active_markups(src: Billing, as_of: dt.datetime) -> DataFrame:
 def portfolio_kpis(src: Billing, as_of: dt.datetime) -> DataFrame:
     """One row: counts, totals, remaining funds, overage, markup revenue, risk."""
     clock, col = Clock(as_of), F.col
-    # Two passes over usage: totals per account, and the daily cube that margins,
-    # burn and (for contracts sized by spend) balances share.
-    cube = daily_cube(src.usage)
-    sold = spend_by(src.usage, CUSTOMER, "account_name").agg(F.count_distinct(CUSTOMER).alias("n_customers"),
-                    F.count_distinct("account_name").alias("n_accounts"),
-                    F.sum("spend").alias("consumption"), F.sum("credits").alias("credits"))
+    # One pass over usage: accounts, margins, burn and (for contracts sized by spend) balances share one aggregate.
+    src = src.with_accounts()
+    cube = src.cube
+    sold = src.accounts.agg(F.count_distinct(CUSTOMER).alias("n_customers"),
+                  F.count_distinct("account_name").alias("n_accounts"),
+                  F.sum("spend").alias("consumption"), F.sum("credits").alias("credits"))
     granted = entitlements(src.contract_items, [CONTRACT]).agg(
         F.count("*").alias("n_contracts"),
         F.sum("capacity").alias("capacity"), F.sum("free_usage").alias("free_usage"))
@@ -117,8 +121,7 @@ def _risk(src: Billing, daily: DataFrame, clock: Clock) -> DataFrame:
 
 
 def monthly_by_customer(src: Billing) -> DataFrame:
-    return (src.usage.groupBy(month_floor(F.col(DAY)).alias("month"), CUSTOMER)
-            .agg(F.sum("usage_in_currency").alias("spend"))
+    return (src.measures.groupBy(month_floor(F.col(DAY)).alias("month"), CUSTOMER).agg(F.sum("spend").alias("spend"))
             .select("month", CUSTOMER, money(F.col("spend")).alias("spend")))
 
 
@@ -226,7 +229,7 @@ def cumulative_series(src: Billing) -> DataFrame:
 
 
 def service_daily(src: Billing) -> DataFrame:
-    return (spend_by(src.usage, CUSTOMER, DAY, "service_type")
+    return (summed(src.measures, CUSTOMER, DAY, "service_type")
             .select(CUSTOMER, DAY, "service_type", money(F.col("spend")).alias("spend")))
 
 
@@ -234,10 +237,10 @@ def service_daily(src: Billing) -> DataFrame:
 
 def _monthly_metrics(src: Billing, clock: Clock) -> DataFrame:
     recent = clock.within(F.col(DAY), BURN_DAYS)
-    return src.usage.groupBy(CUSTOMER, month_floor(F.col(DAY)).alias("month")).agg(
-        F.sum("usage_in_currency").alias("spend"), F.sum("usage").alias("credits"),
-        F.sum(F.when(recent, F.col("usage_in_currency"))).alias("recent_spend"),
-        F.count(F.when(recent, F.col("usage_in_currency"))).alias("recent_rows"))
+    return src.measures.groupBy(CUSTOMER, month_floor(F.col(DAY)).alias("month")).agg(
+        F.sum("spend").alias("spend"), F.sum("credits").alias("credits"),
+        F.sum(F.when(recent, F.col("spend"))).alias("recent_spend"),
+        F.sum(F.when(recent, F.col("n_rows"))).alias("recent_rows"))
 
 
 def _compared(monthly: DataFrame) -> DataFrame:
@@ -279,7 +282,7 @@ def _spend_per_markup(spend: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def _margins(src: Billing, clock: Clock) -> DataFrame:
-    return _spend_per_markup(spend_by(src.usage, ORG), _markups(src, clock))
+    return _spend_per_markup(summed(src.measures, ORG), _markups(src, clock))
 
 
 def margin_report(src: Billing, as_of: dt.datetime, descending: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from burnledger.operators import drawdown, pricing
-from burnledger.operators.usage import DAY, daily_cube
+from burnledger.operators.usage import DAY, account_totals, contract_days, daily_cube, grains, measures
 from burnledger.sources.schemas import (
     ACCOUNT_MAPPING, BALANCE_SOURCE, BILLING_TYPE, CONSUMER, CONTRACT, CUSTOMER, KEYS, MARKUP_RATES, ORG,
     SERVICES, USAGE,
@@ -65,7 +65,9 @@ def _tagged(prefix: str, key: str = "n_nationkey") -> Column:
 class BridgeSource:
     """``Billing`` tables derived from the Parquet files of one directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF, stored_measures: DataFrame | None = None,
+                 by_grain: bool = False):
+        self._stored, self._by_grain = stored_measures, by_grain
         self.spark, self.sf_dir, self.as_of = spark, sf_dir.rstrip("/"), as_of
         self.last_day = as_of.date()
 
@@ -132,9 +134,25 @@ class BridgeSource:
             "is_adjustment": F.lit(False),
         }), USAGE)
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        return measures(self.usage) if self._stored is None else self._stored
+
+    @cached_property
+    def grains(self) -> DataFrame:
+        return grains(self.measures)
+
     @cached_property
     def cube(self) -> DataFrame:
-        return daily_cube(self.usage)
+        return contract_days(self.grains) if self._by_grain else daily_cube(self.measures)
+
+    @property
+    def accounts(self) -> DataFrame:
+        return account_totals(self.grains)
+
+    def with_accounts(self) -> BridgeSource:
+        """The same tables for a report that needs totals by account too: cube and accounts then come from one scan."""
+        return BridgeSource(self.spark, self.sf_dir, self.as_of, self._stored, by_grain=True)
 
     @cached_property
     def contracts(self) -> DataFrame:

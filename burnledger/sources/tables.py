@@ -10,19 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from burnledger.operators.usage import account_totals, contract_days, daily_cube, grains, measures
 from burnledger.sources.schemas import ORG, TABLES
 
 
 class Billing(Protocol):
-    """The six tables every report starts from."""
+    """The six tables every report starts from, and aggregates of usage (operators.usage.measures and daily_cube)."""
 
     contract_items: DataFrame
     rate_sheet: DataFrame
     usage: DataFrame
+    measures: DataFrame
+    cube: DataFrame
+    accounts: DataFrame
+
     balances: DataFrame
     mapping: DataFrame
     rates: DataFrame
 
+    def with_accounts(self) -> Billing: ...
+
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Columns of ``schema`` by name, cast to the declared types."""
@@ -45,11 +52,15 @@ def project_existing(df: DataFrame, names: list[str]) -> DataFrame:
 class TableSource:
     """The model tables below one root: a directory of Parquet or a catalog schema.
 
-    Only the root differs between a demo and a production set of tables.
+    Only the root differs between a demo and a production set of tables. Reports
+    start from ``stored_measures`` (a DailyStore's rows), where given, instead of
+    from the usage rows.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: bool = False,
-                 config_root: str | None = None):
+                 config_root: str | None = None, stored_measures: DataFrame | None = None,
+                 by_grain: bool = False):
+        self._stored, self._by_grain = stored_measures, by_grain
         self.spark, self.root, self.catalog = spark, root.rstrip("/"), catalog
         self.config_root = (config_root or root).rstrip("/")
 
@@ -72,6 +83,26 @@ class TableSource:
     def usage(self) -> DataFrame:
         return self.read("partner_usage_in_currency_daily")
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        return measures(self.usage) if self._stored is None else self._stored
+
+    @cached_property
+    def grains(self) -> DataFrame:
+        return grains(self.measures)
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return contract_days(self.grains) if self._by_grain else daily_cube(self.measures)
+
+    @property
+    def accounts(self) -> DataFrame:
+        return account_totals(self.grains)
+
+    def with_accounts(self) -> TableSource:
+        """The same tables for a report that needs totals by account too: cube and accounts then come from one scan."""
+        return TableSource(self.spark, self.root, self.catalog, self.config_root, self._stored, by_grain=True)
+
     @cached_property
     def balances(self) -> DataFrame:
         return self.read("partner_remaining_balance_daily")
