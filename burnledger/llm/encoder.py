@@ -16,6 +16,7 @@ import numpy as np
 END_ID = 0  # closes every document
 ID_BYTES = 4  # ids travel as unsigned little-endian 32-bit integers
 CACHE_WORDS = 1_000_000  # pieces kept by a worker; beyond that it starts afresh
+CALL_PIECES = 500  # new pieces that go to the library together; longer texts take it longer a piece
 CACHE_CHARS = 64  # longer pieces are encoded each time and not kept
 
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")  # a space beside common white space
@@ -47,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self._bare: dict[str, bytes] = {}  # first piece of a text -> its ids
         self._spaced: dict[str, bytes] = {}  # later piece -> ids of " " + piece
         self._cache_words = cache_words
@@ -58,14 +58,17 @@ class Encoder:
         encoded = self._library.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoded.ids, dtype="<u4")
 
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        """Adds the ids of lead + piece. Plain pieces go to the library in one call, a line break keeping them apart."""
+    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
+        """Adds the ids of lead + piece; returns new pieces that are too long to be kept. Plain pieces go to the library in one call, a line break keeping them apart."""
         missing = wanted.difference(cache)
         odd = {p for p in missing if _ODD.search(p)} if self._newline is not None else missing
         plain = [p for p in missing if p not in odd]
         cache.update((p, self._ids(lead + p).tobytes()) for p in odd)
-        if not plain:
-            return
+        for at in range(0, len(plain), CALL_PIECES):
+            self._learn_plain(cache, plain[at : at + CALL_PIECES], lead)
+        return [p for p in missing if len(p) > CACHE_CHARS]
+
+    def _learn_plain(self, cache: dict[str, bytes], plain: list[str], lead: str) -> None:
         ids = self._ids(lead + (_SPLITTER + lead).join(plain))
         ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
         last = np.cumsum([p.count(_SPLITTER) + 1 for p in plain]) - 1
@@ -85,19 +88,18 @@ class Encoder:
         """Ids of each whole text, without the end id; null and empty texts have none. Equal texts are encoded once."""
         self._trim()
         cut = {text: pieces(text) for text in texts if text}
-        self._learn(self._bare, {first for first, *_ in cut.values()}, "")
+        long_bare = self._learn(self._bare, {parts[0] for parts in cut.values()}, "")
         later: set[str] = set()
         for parts in cut.values():
             later.update(parts[1:])
-        self._learn(self._spaced, later, " ")
+        long_spaced = self._learn(self._spaced, later, " ")
         done = {None: b"", "": b""}
         for text, parts in cut.items():
             first = self._bare[parts[0]]
             done[text] = first + b"".join(map(self._spaced.__getitem__, parts[1:])) if len(parts) > 1 else first
-        for cache in (self._bare, self._spaced):
-            for piece in [p for p in (later if cache is self._spaced else {x[0] for x in cut.values()})
-                          if len(p) > CACHE_CHARS]:
-                cache.pop(piece, None)
+        for cache, pieces_ in ((self._bare, long_bare), (self._spaced, long_spaced)):
+            for piece in pieces_:
+                del cache[piece]
         return [done[text] for text in texts]
 
 

@@ -25,7 +25,7 @@ from burnledger.llm import common
 from burnledger.llm.encoder import END_ID, ID_BYTES, default_vocabulary, encoder
 
 CAPACITY = 1024
-BLOCK_DOCS = 1024  # documents that are packed together
+BLOCK_DOCS = 256  # documents that are packed together; merging partitions takes time with the square of it
 PART_BITS = 33
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -19,12 +19,11 @@ def plain():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(default_vocabulary())
-    library.encode_special_tokens = True
     return lambda text: library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library(plain, texts):
-    odd = [" a  b", "x\n\n y ", "<|endoftext|> q", "  z", " ", "a\tb c", "a\nb", "\n", "a\n b\nc d\ne", "it's  we'll", " x   y"]
+    odd = [" a  b", "x\n\n y ", "<|endoftext|> q", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>", "a\n<|endoftext|>\n b <|endoftext|><|endoftext|>", "  z", " ", "a\tb c", "a\nb", "\n", "a\n b\nc d\ne", "it's  we'll", " x   y"]
     given = [*odd, None, "", *[t for _, t, _ in ODD], *list(texts.values())[:60]]
     got = Encoder(default_vocabulary()).encode_all(given)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(t) for t in given]
