@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from decimal import Decimal
+from functools import lru_cache
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,8 +82,12 @@ def _onboard(src: BridgeSource) -> tuple[DataFrame, DataFrame]:
                           Decimal("0.025"), AS_OF.date(), AS_OF)
 
 
+@lru_cache(maxsize=1)
 def _loaded(spark: SparkSession, sf_dir: str) -> BridgeSource:
-    """A source whose reports start from a stored daily aggregate, made by two loads; the second has late rows."""
+    """A source whose reports start from a stored daily aggregate, made by two loads; the second has late rows.
+
+    The store is written once for the queries that share it.
+    """
     raw, store = BridgeSource(spark, sf_dir), DailyStore(spark, shared_folder(spark))
     late = (F.col(DAY) >= F.lit(LOAD_DAY)) | (F.crc32(F.col("account_name")) % 7 == 0) & (F.dayofmonth(DAY) == 1)
     store.add(raw.usage.filter(~late))
