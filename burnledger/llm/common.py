@@ -39,24 +39,36 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more, because what came of them is stored too."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """Smallest node reachable from each node of undirected edges (a, b long): columns node, root.
+    """Smallest node reachable from each node of undirected edges (two long columns): columns node, root.
 
     Large-star and small-star rounds until the edges form stars around their smallest node. Every round aggregates
     before it joins, so a hub meets its neighbours' smallest label only; rounds grow with the logarithm of the longest
     path.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), spark)
+    now = stored(edges.toDF("a", "b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                 .where("u <> v").distinct(), spark)
     previous = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = large.where("u <> v").distinct()
-        least = now.groupBy("u").agg(F.min("v").alias("m"))
-        small = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = stored(small.union(least.select("u", F.col("m").alias("v"))).select(
+        large = large.where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(small.union(least.select("u", F.col("m").alias("v"))).select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), spark)
+        discard(now)
+        now = after
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == previous:
             break

@@ -10,10 +10,11 @@ their Jaccard similarity reaches the threshold.
   stand out come last, the most frequent at the very end. Light sets that a heavy one may link to are listed as well.
 - The boundary is the size up to which naming subsets costs less than scanning lists.
 
-Named keys with one node only are dropped. A list is not expanded into pairs: its members are compared with one leader,
-twice with different leaders, and again while many pairs are open; nodes found linked form components, and only
-members of a list that are still in different components are paired and compared, after a bound on their shared keys. No candidate is dropped otherwise, so
-components are exact.
+Named keys with one node only are dropped. A list's members are compared with one leader, a few times with different
+ones; nodes found linked form components, and only list members that are still in different components are paired. Each
+set has a parity sketch: one bit for each of 1,024 classes of hashes, the parity of the set's elements in it. Two
+sketches differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in more bits
+than linked sets of these sizes can is left before it is formed. No other candidate is dropped, so components are exact.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ PERCENT = 80
 SKETCH_BITS = 20  # counters of the sketch, 4 MB whatever the input's size
 SLICES = 16
 MOST_LIGHT = 12  # the boundary is never above this size
-ROUNDS = 8  # with leaders, at most
+ROUNDS = 4  # with leaders, at most
 CROSSING = 4  # another round is made while lists hold more open pairs than this for each of their rows
-SALT_ROWS = 2_000  # comparisons with one leader that a task takes on at a time
+PARITIES = 1_024  # bits of a parity sketch
+SEND_BYTES = 1 << 26  # copies of a text in one batch, beyond the first
+SALT_ROWS = 256  # comparisons with one leader that a task takes on at a time
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 
@@ -65,6 +68,12 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each class of hashes, 64 classes a value."""
+    counts = np.bincount((found & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def subset_keys(n: int, light: int, percent: int = PERCENT) -> int:
     return sum(math.comb(n, overlap(n, m, percent)) for m in partners(n, percent) if 0 < m <= light)
 
@@ -116,10 +125,11 @@ def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         total = sum(np.frombuffer(x, "<i8") for x in frame["counts"])
         return frame.head(1).assign(counts=[total.tobytes()])[["slice", "some", "counts"]]
 
-    # Sums in two steps, so that no task holds more than some hundred parts.
-    parts = rows.select("text").mapInArrow(count, "slice int, counts binary").withColumn("some", F.spark_partition_id() % 64)
-    for keys in (["slice", "some"], ["slice"]):
-        parts = parts.groupBy(*keys).applyInPandas(add, "slice int, some int, counts binary")
+    # Sums in three steps, so that no group has more than some hundred parts, even of a million partitions.
+    parts = rows.select("text").mapInArrow(count, "slice int, counts binary").withColumn("some", F.spark_partition_id())
+    for groups in (4096, 64, 1):
+        parts = (parts.withColumn("some", F.col("some") % groups).groupBy("slice", "some")
+                 .applyInPandas(add, "slice int, some int, counts binary"))
     found = {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in parts.collect()}
     if not found:
         return Order(np.zeros(size, np.uint8), 0)
@@ -141,25 +151,26 @@ def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def _sets(rows: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """doc_id, tie, node (hash of the set), n, keys and their places in the set's order."""
+    """doc_id, tie, node (hash of the set), n, sketch, keys and their places in the set's order."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, keys, places = [], [], [], []
+        nodes, sizes, sketches, keys, places = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             found = shingles(text, words)
             sizes.append(len(found))
+            sketches.append(sketch(found))
             nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
             listed, at = shared.value.keys(found, percent)
             keys.append(listed)
             places.append(at)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            ["doc_id", "tie", "node", "n", "keys", "places"])
+             pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+            ["doc_id", "tie", "node", "n", "sketch", "keys", "places"])
 
     return common.per_slice(rows.select("doc_id", "tie", "text"), run,
-                            "doc_id long, tie long, node long, n long, keys array<long>, places array<int>")
+                            "doc_id long, tie long, node long, n long, sketch array<long>, keys array<long>, places array<int>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
@@ -182,8 +193,9 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
         for batch in batches:
             for i in range(batch.num_rows):
                 node, to, text = (batch.column(k)[i].as_py() for k in range(3))
-                for start in range(0, len(to), 64):
-                    part = to[start : start + 64]
+                some = max(1, min(64, SEND_BYTES // (len(text) + 1)))
+                for start in range(0, len(to), some):
+                    part = to[start : start + some]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x["leader"] for x in part], pa.int64()), pa.array([x["salt"] for x in part], pa.int32()),
                          pa.array([int(x["leader"] != node) for x in part], pa.int32()),
@@ -215,67 +227,84 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, node, n) and the components of their nodes (node, root)."""
+    """Members (doc_id, tie, node, n; tie is a hash of the text) and the components of their nodes (node, root)."""
     spark = docs.sparkSession
     rows = common.keyed(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    order = learn_order(rows, words, percent)
-    sets = common.stored(_sets(rows, order, words, percent), spark)
+    sets = common.stored(_sets(rows, learn_order(rows, words, percent), words, percent), spark)
     listed = sets.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "node", "n").select(
         F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "node", "n")
     # Keys of two nodes and more.
     repeated = listed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     lists = common.stored(listed.join(repeated, "key").distinct(), spark)
-    places = common.stored(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("p"))
-                           .join(lists.select("node").distinct(), "node", "left_semi")
-                           .select("node", "p.doc_id", "p.tie"), spark)
-    whole = rows.select("doc_id", "tie", "text")
+    nodes = common.stored(sets.where("n > 0").join(lists.select("node").distinct(), "node", "left_semi").groupBy("node")
+                          .agg(F.min(F.struct("doc_id", "tie")).alias("p"), F.any_value("n").alias("n"),
+                               F.any_value("sketch").alias("sketch"))
+                          .select("node", "n", "sketch", "p.doc_id", "p.tie"), spark)
+    members = common.stored(sets.select("doc_id", "tie", "node", "n"), spark)
+    common.discard(sets)
     # Rows with a null id are found again through a key that never is null.
-    none = -(1 << 63)
-    whole = whole.withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
-    places = places.withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
-    edges, roots, step = None, None, 0
-    while True:
-        members = common.stored(_open_lists(lists, roots), spark)
-        if step > 1 and (step >= ROUNDS or _crossing(members) <= CROSSING * lists.count()):
-            break
-        pairs = common.stored(_with_leaders(members, step, percent), spark)
+    none = F.lit(-(1 << 63))
+    whole = rows.select(F.coalesce("doc_id", none).alias("doc_id"), "tie", "text")
+    places = nodes.select("node", F.coalesce("doc_id", none).alias("doc_id"), "tie")
+    sketches = nodes.select("node", "n", "sketch")
+
+    def joined(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Components after the pairs that link are added."""
+        pairs = common.stored(pairs, spark)
         found = common.stored(verified(pairs, whole, places, words, percent), spark)
-        edges = found if edges is None else edges.union(found)
-        roots = common.connected(edges, spark)
-        step += 1
-    other = members.select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
-                           F.col("root").alias("root_a"))
-    # Sets that link share `least` keys at least among the first n - t + least of either; see prefix().
-    t, least = _least(percent)
-    reach = (F.col("place") < F.col("n") - t + least) & (F.col("place_a") < F.col("n_a") - t + least)
-    pairs = (members.join(other, "key")
-             .where((F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & _near(percent) & reach)
-             .groupBy("a", F.col("node").alias("b"), "n", "n_a").agg(F.count("*").alias("shared"))
-             .where(F.col("shared") >= least).select("a", "b"))
-    found = common.stored(verified(common.stored(pairs, spark), whole, places, words, percent), spark)
-    roots = common.connected(edges.union(found), spark)
-    return sets.select("doc_id", "node", "n"), roots
+        now = common.connected(found if roots is None else found.union(roots), spark)
+        common.discard(pairs, found, *([] if roots is None else [roots]))
+        return now
+
+    lists, roots, before = lists.withColumn("root", F.col("node")), None, math.inf
+    for step in range(ROUNDS):
+        roots = joined(_alike(_with_leaders(lists, step, percent), sketches, percent), roots)
+        still = common.stored(_open_lists(lists, roots), spark)
+        common.discard(lists)
+        lists, crossing = still, _crossing(still)
+        if crossing <= CROSSING * lists.count() or crossing > 0.9 * before:
+            break
+        before = crossing
+    marked = lists.join(sketches.drop("n"), "node")
+    other = marked.select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
+                          F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
+    pairs = marked.join(other, (marked["key"] == other["key"]) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a"))
+                        & _near(percent) & _reach(percent) & _within(percent))
+    return members, joined(pairs.select("a", F.col("node").alias("b")).distinct(), roots)
 
 
 def _near(percent: int) -> Column:
     return 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
 
 
-def _least(percent: int) -> tuple[Column, Column]:
-    """Overlap t of two sets that link, and how many keys they share at least in prefixes longer by as many: a twentieth
-    of the smaller set, but no more than the listed prefixes reach."""
-    n, m = F.col("n"), F.col("n_a")
-    t = F.ceil(percent * (n + m) / (100 + percent))
-    most = F.greatest(F.ceil(percent * n / 100), F.ceil(percent * m / 100)) - 1
-    return t, F.greatest(F.lit(1), F.least(F.floor(F.least(n, m) / 20), t - most))
+def _shared(percent: int) -> Column:
+    """Shingles that two sets that link share at least."""
+    return F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
+
+
+def _reach(percent: int) -> Column:
+    """Sets that link share a key among the first n - t + 1 elements of either, t as in _shared."""
+    t = _shared(percent)
+    return (F.col("place") <= F.col("n") - t) & (F.col("place_a") <= F.col("n_a") - t)
+
+
+def _within(percent: int) -> Column:
+    """The sketches differ in no more bits than linked sets of these sizes differ in elements."""
+    bits = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_a")[i])) for i in range(PARITIES // 64)]
+    return sum(bits[1:], bits[0]) <= F.col("n") + F.col("n_a") - 2 * _shared(percent)
+
 
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    of_a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    return (pairs.join(of_a, "a").join(sketches.withColumnRenamed("node", "b"), "b")
+            .where(_within(percent)).select("a", "b"))
 
-def _open_lists(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists whose members are in several components, each member with its component."""
-    if roots is None:
-        return lists.withColumn("root", F.col("node"))
-    members = (lists.join(roots, lists["node"] == roots["node"], "left")
-               .select(*[lists[c] for c in lists.columns], F.coalesce("root", lists["node"]).alias("root")))
+
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are in several components, each member with its component. Others never open again."""
+    members = (lists.drop("root").join(roots, "node", "left")
+               .select("key", "place", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     return members.join(mixed, "key")
 
@@ -288,16 +317,18 @@ def _crossing(members: DataFrame) -> float:
 
 
 def _with_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
-    """Each member with the leader of its lists, a for the leader; the leader differs from one step to the next."""
-    rank = F.col("node") if step == 0 else F.xxhash64("node", "key", F.lit(step))
-    chosen = members.withColumn("rank", rank)
-    least = chosen.groupBy("key").agg(F.min("rank").alias("rank"))
-    leaders = (chosen.join(least, ["key", "rank"]).dropDuplicates(["key"])
-               .select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
-                       F.col("root").alias("root_a")))
-    t, _ = _least(percent)
-    reach = (F.col("place") <= F.col("n") - t) & (F.col("place_a") <= F.col("n_a") - t)
-    return (members.join(leaders, "key").where((F.col("root") != F.col("root_a")) & _near(percent) & reach)
+    """Each member with the leader of its lists, a for the leader.
+
+    The first leader of a list has the smallest place in its own order, so that it reaches most members; later ones are
+    drawn by a hash that changes with the step among members that reach sets of their own size.
+    """
+    far = F.col("place") > F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    rank = (F.struct(F.col("place").alias("first"), F.col("node").alias("second")) if step == 0 else
+            F.struct(far.cast("int").alias("first"), F.xxhash64("node", F.lit(step)).alias("second")))
+    leaders = (members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "place", "node", "n", "root")).alias("l"))
+               .select("key", F.col("l.place").alias("place_a"), F.col("l.node").alias("a"), F.col("l.n").alias("n_a"),
+                       F.col("l.root").alias("root_a")))
+    return (members.join(leaders, "key").where((F.col("root") != F.col("root_a")) & _near(percent) & _reach(percent))
             .select("a", F.col("node").alias("b")).distinct())
 
 
@@ -310,9 +341,27 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     table gives no rows.
     """
     members, roots = links(docs, words, percent, id_col, text_col)
-    rooted = (members.join(roots, "node", "left")
-              .withColumn("root", F.coalesce("root", "node")))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     full = rooted.where("n > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
             .union(rooted.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, ties by a hash of the text.
+
+    Rows without an id come last, but take part. Rows with one id and text are one, whatever their other columns hold.
+    Rows without words are linked with nothing; all of them stay.
+    """
+    members, roots = links(docs, words, percent, id_col, text_col)
+    full = members.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("p"))
+    kept = best.select(F.col("p.doc_id").alias("i"), F.col("p.tie").alias("t")).withColumn("full", F.lit(True))
+    kept = kept.union(members.where("n = 0").select("doc_id", "tie", F.lit(False)).distinct()).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tie"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    once = found.where("full").dropDuplicates(["id", "tie"])
+    return once.union(found.where("NOT full")).select("row.*")

@@ -366,6 +366,46 @@ def test_components(spark, texts, odd, nothing, light, monkeypatch):
         assert op9_jaccard.components(nothing).count() == 0
 
 
+def test_parity_sketches_bound_the_difference():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(draw.integers(0, 3000, int(draw.integers(0, 900))).astype(np.uint64)) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (op9_jaccard.sketch(a) ^ op9_jaccard.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and len(op9_jaccard.sketch(a)) == op9_jaccard.PARITIES // 64
+
+
+def test_jaccard_forms_few_pairs_in_groups_of_near_copies(spark, monkeypatch):
+    draw, base, rows = np.random.default_rng(7), [f"b{i}" for i in range(200)], []
+    for k in range(400):
+        words = list(base)
+        for at in draw.choice(200, int(draw.integers(2, 9)), replace=False):
+            words[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"o{k}_{i}" for i in range(50))) for k in range(50)]
+    formed, plain = [], op9_jaccard.verified
+
+    def counting(pairs, *rest):
+        formed.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(op9_jaccard, "verified", counting)
+    got = op9_jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == _components(rows)
+    assert sum(formed) < 5 * len(rows)
+
+
+def test_jaccard_keeps_one_row_of_each_component(spark, nothing):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, long, "a"), (5, long, "b"), (5, long + " more", "c"), (None, long, "d"), (3, long + " and", "e"), (4, "other words", "f"),
+            (None, "no id here", "g"), (None, "no id here", "g"), (7, "", "h"), (7, None, "i"), (None, None, "j"), (None, " ", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumn("full", F.lit(1)).withColumn("tie", F.lit(2))
+    got = op9_jaccard.keep_first(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        [(3, long + " and"), (4, "other words"), (None, "no id here"), (7, ""), (7, None), (None, None), (None, " ")])
+    assert op9_jaccard.keep_first(nothing).count() == 0
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(200, 300 + i) for i in range(50)]
     roots = {r.node: r.root for r in common.connected(spark.createDataFrame(edges, "a long, b long"), spark).collect()}
