@@ -14,9 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    first = op9_jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(first, "doc_id", "left_semi"))
+    """One row of each group of near copies: the one with the smallest id; rows without an id come last."""
+    return op9_jaccard.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
