@@ -12,8 +12,8 @@ their Jaccard similarity reaches the threshold.
 
 Named keys with one node only are dropped. A list's members are compared with one leader, a few times with different
 ones; nodes found linked form components, and only list members that are still in different components are paired. Each
-set has a parity sketch: one bit for each of 1,024 classes of hashes, the parity of the set's elements in it. Two
-sketches differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in more bits
+set has a parity sketch: one bit for each of 1,024 classes of hashes, the parity of the set's elements in it; sets of
+over 512 elements have a wide one besides, of two to four bits an element. Two sketches differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in more bits
 than linked sets of these sizes can is left before it is formed. No other candidate is dropped, so components are exact.
 """
 
@@ -68,12 +68,18 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
+def sketch(found: np.ndarray, bits: int = PARITIES) -> np.ndarray:
     """Parity of the number of elements in each class of hashes, 64 classes a value."""
-    counts = np.bincount((found & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(found: np.ndarray) -> np.ndarray | None:
+    """A sketch of two bits an element at least, or None if the usual one has as many."""
+    bits = 1 << (2 * len(found) - 1).bit_length() if len(found) else 0
+    return sketch(found, bits) if bits > PARITIES else None
+
+
 def subset_keys(n: int, light: int, percent: int = PERCENT) -> int:
     return sum(math.comb(n, overlap(n, m, percent)) for m in partners(n, percent) if 0 < m <= light)
 
@@ -151,26 +157,28 @@ def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def _sets(rows: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """doc_id, tie, node (hash of the set), n, sketch, keys and their places in the set's order."""
+    """doc_id, tie, node (hash of the set), n, sketch, wide, keys and their places in the set's order."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, sketches, keys, places = [], [], [], [], []
+        nodes, sizes, sketches, wide, keys, places = [], [], [], [], [], []
         for text in batch.column(2).to_pylist():
             found = shingles(text, words)
             sizes.append(len(found))
             sketches.append(sketch(found))
+            wide.append(wide_sketch(found))
             nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
             listed, at = shared.value.keys(found, percent)
             keys.append(listed)
             places.append(at)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            ["doc_id", "tie", "node", "n", "sketch", "keys", "places"])
+             pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())),
+             pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+            ["doc_id", "tie", "node", "n", "sketch", "wide", "keys", "places"])
 
-    return common.per_slice(rows.select("doc_id", "tie", "text"), run,
-                            "doc_id long, tie long, node long, n long, sketch array<long>, keys array<long>, places array<int>")
+    return common.per_slice(rows.select("doc_id", "tie", "text"), run, "doc_id long, tie long, node long, n long, "
+                            "sketch array<long>, wide array<long>, keys array<long>, places array<int>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
@@ -238,15 +246,15 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
     lists = common.stored(listed.join(repeated, "key").distinct(), spark)
     nodes = common.stored(sets.where("n > 0").join(lists.select("node").distinct(), "node", "left_semi").groupBy("node")
                           .agg(F.min(F.struct("doc_id", "tie")).alias("p"), F.any_value("n").alias("n"),
-                               F.any_value("sketch").alias("sketch"))
-                          .select("node", "n", "sketch", "p.doc_id", "p.tie"), spark)
+                               F.any_value("sketch").alias("sketch"), F.any_value("wide").alias("wide"))
+                          .select("node", "n", "sketch", "wide", "p.doc_id", "p.tie"), spark)
     members = common.stored(sets.select("doc_id", "tie", "node", "n"), spark)
     common.discard(sets)
     # Rows with a null id are found again through a key that never is null.
     none = F.lit(-(1 << 63))
     whole = rows.select(F.coalesce("doc_id", none).alias("doc_id"), "tie", "text")
     places = nodes.select("node", F.coalesce("doc_id", none).alias("doc_id"), "tie")
-    sketches = nodes.select("node", "n", "sketch")
+    widest = nodes.select("node", "n", F.coalesce("wide", "sketch").alias("sketch"))
 
     def joined(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Components after the pairs that link are added."""
@@ -258,19 +266,20 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
 
     lists, roots, before = lists.withColumn("root", F.col("node")), None, math.inf
     for step in range(ROUNDS):
-        roots = joined(_alike(_with_leaders(lists, step, percent), sketches, percent), roots)
+        roots = joined(_alike(_with_leaders(lists, step, percent), widest, percent), roots)
         still = common.stored(_open_lists(lists, roots), spark)
         common.discard(lists)
         lists, crossing = still, _crossing(still)
         if crossing <= CROSSING * lists.count() or crossing > 0.9 * before:
             break
         before = crossing
-    marked = lists.join(sketches.drop("n"), "node")
+    marked = lists.join(nodes.select("node", "sketch"), "node")
     other = marked.select("key", F.col("place").alias("place_a"), F.col("node").alias("a"), F.col("n").alias("n_a"),
                           F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
     pairs = marked.join(other, (marked["key"] == other["key"]) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a"))
                         & _near(percent) & _reach(percent) & _within(percent))
-    return members, joined(pairs.select("a", F.col("node").alias("b")).distinct(), roots)
+    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+    return members, joined(_alike(pairs, widest, percent), roots)
 
 
 def _near(percent: int) -> Column:
@@ -294,11 +303,21 @@ def _within(percent: int) -> Column:
     return sum(bits[1:], bits[0]) <= F.col("n") + F.col("n_a") - 2 * _shared(percent)
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link."""
-    of_a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    return (pairs.join(of_a, "a").join(sketches.withColumnRenamed("node", "b"), "b")
-            .where(_within(percent)).select("a", "b"))
+def _alike(pairs: DataFrame, widest: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose widest sketches allow a link; the wider of two is folded to the other's size."""
+    def folded(one: str) -> Column:
+        half = F.col("size")
+        both = F.zip_with(F.slice(one, F.lit(1), half), F.slice(one, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(one) > half, both).otherwise(F.col(one))
+
+    of_a = widest.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    held = (pairs.join(of_a, "a").join(widest.withColumnRenamed("node", "b"), "b")
+            .withColumn("size", F.least(F.size("sketch"), F.size("sketch_a"))))
+    bits = F.aggregate(F.zip_with(folded("sketch"), folded("sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                       F.lit(0), lambda x, y: x + y)
+    # Sizes of sets that may link differ by so little that widths differ by one doubling at most, if the share is over half.
+    twice = F.greatest(F.size("sketch"), F.size("sketch_a")) > 2 * F.col("size")
+    return held.where(twice | (bits <= F.col("n") + F.col("n_a") - 2 * _shared(percent))).select("a", "b")
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:

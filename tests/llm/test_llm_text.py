@@ -374,6 +374,21 @@ def test_parity_sketches_bound_the_difference():
         assert bits <= len(np.setxor1d(a, b)) and len(op9_jaccard.sketch(a)) == op9_jaccard.PARITIES // 64
 
 
+def test_wide_sketches_leave_only_pairs_that_cannot_link(spark):
+    draw, sets = np.random.default_rng(6), {}
+    for k in range(24):  # from a common stock, so that sizes, widths and likeness vary
+        sets[k] = np.sort(draw.choice(1300, int(draw.integers(400, 1250)), replace=False)).astype(np.uint64) * np.uint64(2654435761)
+    wide = {k: op9_jaccard.wide_sketch(v) for k, v in sets.items()}
+    nodes = spark.createDataFrame([(k, len(v), (op9_jaccard.sketch(v) if wide[k] is None else wide[k]).tolist()) for k, v in sets.items()],
+                                  "node long, n long, sketch array<long>")
+    assert {len(w) for w in wide.values() if w is not None} == {32, 64}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    kept = {tuple(r) for r in op9_jaccard._alike(spark.createDataFrame(pairs, "a long, b long"), nodes, 80).collect()}
+    shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    linked = {(a, b) for a, b in pairs if 100 * shared[a, b] >= 80 * (len(sets[a]) + len(sets[b]) - shared[a, b])}
+    assert linked and linked <= kept and len(kept) < len(pairs) / 2
+
+
 def test_jaccard_forms_few_pairs_in_groups_of_near_copies(spark, monkeypatch):
     draw, base, rows = np.random.default_rng(7), [f"b{i}" for i in range(200)], []
     for k in range(400):
