@@ -5,6 +5,9 @@ the sum over its pre-tokens. The leaves of a document's tree are pre-tokens (cha
 the sums of its two children. An edit replaces some characters: the leaves it touches, and those before it whose match
 looked at the first changed character (at most two characters beyond a pre-token's end), are cut anew until a cut falls
 on an old one behind the edit. Only these are encoded, and sums change along the paths to the root.
+
+Trees are kept: grow() gives a row for each document with its text and its leaves, to be stored as a table; edited()
+takes such rows, makes the trees of the leaves without cutting or encoding the text again, and gives the changed rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from burnledger.llm.encoder import ID_BYTES, default_vocabulary, encoder
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
 CACHE_WORDS = 500_000
+TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long"
+FEW_LEAVES = 64  # an edit that touches more of them builds the tree anew from its leaves
 
 def _pattern():  # noqa: ANN202
     import public_tokenizers
@@ -71,11 +76,14 @@ class Edit:
 class Tree:
     """A text with a segment tree over its pre-tokens."""
 
-    def __init__(self, text: str, count: Counter, pattern=None, tokens: list[str] | None = None) -> None:  # noqa: ANN001
+    def __init__(self, text: str, count: Counter, pattern=None,  # noqa: ANN001
+                 leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.text, self.recoded, self._count = text, 0, count
         self._pattern = pattern or _pattern()
-        tokens = self._pattern.findall(text) if tokens is None else tokens
-        self._build(np.array(list(map(len, tokens)), np.int64), np.array(count(tokens), np.int64))
+        if leaves is None:
+            tokens = self._pattern.findall(text)
+            leaves = np.array(list(map(len, tokens)), np.int64), np.array(count(tokens), np.int64)
+        self._build(*leaves)
 
     def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
         self._leaves = len(chars)
@@ -128,6 +136,10 @@ class Tree:
             first, start = self._find(max(0, start - 1))
         # Leaves end where pre-tokens did; walk along old and new cuts until both agree behind the edit.
         leaf, old_end, at, found = first, start, start, []
+        if b < len(old):  # past the leaves that go whole
+            held, begins = self._find(b)
+            if begins > old_end:
+                leaf, old_end = held, begins
         behind = a + len(edit.text)
         while True:
             while leaf < self.size and (old_end < b or old_end + shift < at):
@@ -144,13 +156,18 @@ class Tree:
         self.recoded += sum(map(len, found))
         slots = leaf - first
         # New pre-tokens go into the touched leaves, several into the last one if they are few; else the tree is built anew.
-        if (slots and len(found) <= slots + 64) or not found:
+        if 0 < slots <= FEW_LEAVES and len(found) <= slots + FEW_LEAVES:
             self._fill(first, slots, found, counts)
-        else:
+        elif slots or found:
             chars, tokens = self._flat()
             self._build(np.concatenate([chars[:first], list(map(len, found)), chars[leaf:]]).astype(np.int64),
                         np.concatenate([tokens[:first], counts, tokens[leaf:]]).astype(np.int64))
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the leaves that hold any."""
+        chars, tokens = self._flat()
+        return chars[chars > 0], tokens[chars > 0]
+
     def _flat(self) -> tuple[np.ndarray, np.ndarray]:
         return self.chars[self.size :].copy(), self.tokens[self.size :].copy()
 
@@ -162,38 +179,70 @@ class Tree:
             self._set(first + i, sum(map(len, part)), sum(n))
 
 
-def count_edits(docs: DataFrame, edits: Column, vocabulary: str | None = None, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Token counts of every whole text before and after its edits, and how many characters were encoded again.
+def grow(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tree of every whole text: doc_id, text, characters and tokens of its leaves (here one pre-token each).
 
-    edits: a column of docs, array<struct<start int, length int, text string>>, applied in order, each to the text that
-    the one before left; null lists and null texts count as empty, null numbers as 0. Rows with null or repeated ids
+    A null or empty text has no leaves. Strings of special tokens count as ordinary text. Rows with null or repeated ids
     get a row each; an empty table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       edits.alias("edits"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count, pattern, out = counter(vocabulary), _pattern(), []
+        count, pattern = counter(vocabulary), _pattern()
         texts = [t or "" for t in batch.column(1).to_pylist()]
         cut = [pattern.findall(t) for t in texts]
-        distinct: set[str] = set()
-        for tokens in cut:
-            distinct.update(tokens)
-        count.learn(distinct)
-        for doc_id, text, tokens, todo in zip(batch.column(0).to_pylist(), texts, cut, batch.column(2).to_pylist(), strict=True):
-            tree = Tree(text, count, pattern, tokens)
+        ends = pa.array(np.cumsum([0, *map(len, cut)]), pa.int32())
+        tokens = [token for part in cut for token in part]
+        columns = [pa.ListArray.from_arrays(ends, pa.array(list(numbers), pa.int32()))
+                   for numbers in (map(len, tokens), count(tokens))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *columns],
+                                          ["doc_id", "text", "chars", "tokens"])
+
+    return common.per_slice(common.keyed(docs, id_col, text_col), run, TREE)
+
+
+def edited(trees: DataFrame, edits: Column, vocabulary: str | None = None, keep: bool = True) -> DataFrame:
+    """Token counts of every kept tree before and after its edits, and how many characters were encoded again.
+
+    edits: a column over the trees' rows, array<struct<start int, length int, text string>>, applied in order, each to
+    the text that the one before left; null lists and null texts count as empty, null numbers as 0. With keep, the
+    changed trees (text, chars, tokens) follow, so that they can be stored and edited again; a leaf may then hold
+    several pre-tokens.
+    """
+    vocabulary = vocabulary or default_vocabulary()
+    rows = trees.select("doc_id", "text", "chars", "tokens", edits.alias("edits"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count, pattern, out, after = counter(vocabulary), _pattern(), [], []
+        ends = batch.column(2).offsets.to_numpy()
+        chars, tokens = (batch.column(k).values.to_numpy() for k in (2, 3))
+        second = batch.column(3).offsets.to_numpy()
+        ids, texts, todo = (batch.column(k).to_pylist() for k in (0, 1, 4))
+        for i, (doc_id, text, some) in enumerate(zip(ids, texts, todo, strict=True)):
+            leaves = chars[ends[i] : ends[i + 1]], tokens[second[i] : second[i + 1]]
+            tree = Tree(text, count, pattern, leaves)
             before = tree.total
-            for e in todo or []:
+            for e in some or []:
                 if e is not None:
                     tree.apply(Edit(e["start"] or 0, e["length"] or 0, e["text"] or ""))
             out.append((doc_id, before, tree.total, len(tree.text), tree.recoded))
-        columns = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
-                                          ["doc_id", "n_tokens", "edited_tokens", "edited_chars", "recoded_chars"])
+            after.append((tree.text, *tree.leaves()) if keep else ())
+        columns = [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)]
+        names = ["doc_id", "n_tokens", "edited_tokens", "edited_chars", "recoded_chars"]
+        if keep:
+            types = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())
+            columns += [pa.array(list(c), t) for c, t in zip(zip(*after, strict=True), types, strict=True)]
+            names += ["text", "chars", "tokens"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return common.per_slice(rows, run, SCHEMA)
+    return common.per_slice(rows, run, SCHEMA + (", text string, chars array<int>, tokens array<int>" if keep else ""))
+
+
+def count_edits(docs: DataFrame, edits: Column, vocabulary: str | None = None, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """Grows and stores the trees of all documents, then applies the edits (a column over doc_id and text) to them."""
+    trees = common.stored(grow(docs, vocabulary, id_col, text_col), docs.sparkSession)
+    return edited(trees, edits, vocabulary, keep=False)
 
 
 def sample_edits(text_col: str = "text") -> Column:
@@ -205,5 +254,5 @@ def sample_edits(text_col: str = "text") -> Column:
     def edit(start: Column, length: Column, new: Column) -> Column:
         return F.struct(F.floor(start).cast("int").alias("start"), F.floor(length).cast("int").alias("length"), new.alias("text"))
 
-    return F.array(edit(n / 3, F.least(n / 10, F.lit(200.0)), F.lit("")), edit(n / 2, F.lit(0), F.substring(text, 1, 40)),
+    return F.array(edit(n / 3, n / 10, F.lit("")), edit(n / 2, F.lit(0), F.substring(text, 1, 40)),
                    edit(n * 3 / 4, F.lit(5), F.lit(" it's 42\n")))

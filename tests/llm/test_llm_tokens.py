@@ -120,6 +120,38 @@ def test_edited_counts_equal_full_counts(spark, plain, odd, nothing):
     assert sorted(r.n_tokens for r in rows) == sorted(len(plain(t)) for _, t, _ in ODD)
     assert counts.count_edits(nothing, counts.sample_edits()).count() == 0
     long = "word " * 20_000
+    tree = counts.Tree(long + "end", count)
+    tree.apply(counts.Edit(10_001, 60_000, " of it"))
+    assert tree.recoded < 40 and tree.total == len(plain(tree.text)) and tree.chars[1] == len(tree.text)
     tree = counts.Tree(long, count)
     tree.apply(counts.Edit(50_000, 3, "new"))
     assert tree.recoded < 40 and tree.total == len(plain(tree.text))
+
+
+def _edited_text(text, edits):
+    for e in edits:
+        a = min(max(e.start, 0), len(text))
+        text = text[:a] + e.text + text[min(a + max(e.length, 0), len(text)):]
+    return text
+
+
+def test_kept_trees_are_edited_again(spark, plain, documents, texts, odd, tmp_path):
+    edits = {r.doc_id: r.e for r in documents.select("doc_id", counts.sample_edits().alias("e")).collect()}
+    counts.grow(documents).write.parquet(str(tmp_path / "trees"))
+    trees = spark.read.parquet(str(tmp_path / "trees"))
+    once = counts.edited(trees, counts.sample_edits())
+    once.write.parquet(str(tmp_path / "once"))
+    once = spark.read.parquet(str(tmp_path / "once"))
+    new = {r.doc_id: r.text for r in once.collect()}
+    assert new == {i: _edited_text(t or "", edits[i]) for i, t in texts.items()}
+    for r in once.collect():
+        assert (r.n_tokens, r.edited_tokens, r.edited_chars) == (len(plain(texts[r.doc_id])), len(plain(r.text)), len(r.text))
+        assert sum(r.chars) == len(r.text) and sum(r.tokens) == r.edited_tokens
+    again = {r.doc_id: r.e for r in once.select("doc_id", counts.sample_edits().alias("e")).collect()}
+    for r in counts.edited(once, counts.sample_edits()).collect():
+        assert r.text == _edited_text(new[r.doc_id], again[r.doc_id])
+        assert r.n_tokens == len(plain(new[r.doc_id])) and r.edited_tokens == len(plain(r.text))
+    rows = counts.count_edits(documents, counts.sample_edits()).collect()
+    assert {r.doc_id: r.edited_tokens for r in rows} == {i: len(plain(t)) for i, t in new.items()}
+    odd_trees = counts.edited(counts.grow(odd), counts.sample_edits()).collect()
+    assert len(odd_trees) == len(ODD) and all(r.edited_tokens == len(plain(r.text)) for r in odd_trees)
