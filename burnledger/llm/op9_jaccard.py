@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnledger.llm import common, wordhash
@@ -241,9 +241,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
     sets = common.stored(_sets(rows, learn_order(rows, words, percent), words, percent), spark)
     listed = sets.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "node", "n").select(
         F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "node", "n")
-    # Keys of two nodes and more.
-    repeated = listed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    lists = common.stored(listed.join(repeated, "key").distinct(), spark)
+    # Keys of two nodes and more, by one shuffle of the listed rows.
+    same = Window.partitionBy("key")
+    repeated = (listed.withColumn("x", F.min("node").over(same)).withColumn("y", F.max("node").over(same))
+                .where("x < y").drop("x", "y"))
+    lists = common.stored(repeated.distinct(), spark)
     nodes = common.stored(sets.where("n > 0").join(lists.select("node").distinct(), "node", "left_semi").groupBy("node")
                           .agg(F.min(F.struct("doc_id", "tie")).alias("p"), F.any_value("n").alias("n"),
                                F.any_value("sketch").alias("sketch"), F.any_value("wide").alias("wide"))
