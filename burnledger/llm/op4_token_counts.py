@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnledger.llm import common
-from burnledger.llm.encoder import ID_BYTES, default_vocabulary, encoder
+from burnledger.llm.encoder import ID_BYTES, Encoder, default_vocabulary
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
 CACHE_WORDS = 500_000
@@ -40,7 +40,7 @@ class Counter:
     """Tokens of pre-tokens, with a bounded cache; a batch's unknown ones are encoded together."""
 
     def __init__(self, vocabulary: str):
-        self._encode = encoder(vocabulary).encode_all
+        self._encode = Encoder(vocabulary, cache_words=0).encode_all  # what it has encoded is known here
         self._known: dict[str, int] = {}
 
     def learn(self, tokens: set[str]) -> None:
