@@ -30,15 +30,16 @@ class DailyStore:
     def add(self, arrived: DataFrame, base: int | None = None) -> int:
         """Usage rows that are not in the store yet, of whatever days. Only the days they are of are read and written.
 
+        The rows are read once: their aggregate is set aside in files, which also say what days are touched.
         Give the version that was the newest when the rows were chosen as ``base``: if the load has been committed before,
         a second attempt fails instead of adding the rows twice.
         """
         base = self.table.version() if base is None else base
-        fresh = summed(measures(arrived), *STORED_KEYS)
-        days = arrived.select(DAY).distinct()
-        before = self.table.read(lambda m: m.join(days, m[DAY].eqNullSafe(days[DAY]), "left_semi"), base)
-        merged = conform(summed(before.unionByName(conform(fresh, STORED)), *STORED_KEYS), STORED)
-        return self.table.replace(merged, base=base)
+        with self.table.set_aside(conform(summed(measures(arrived), *STORED_KEYS), STORED)) as fresh:
+            days = fresh.select(DAY).distinct()
+            before = self.table.read(lambda m: m.join(days, m[DAY].eqNullSafe(days[DAY]), "left_semi"), base)
+            merged = conform(summed(before.unionByName(fresh), *STORED_KEYS), STORED)
+            return self.table.replace(merged, base=base)
 
     def restate(self, usage: DataFrame, days: DataFrame, base: int | None = None) -> int:
         """All usage rows of the given days (a column ``usage_date``), instead of what the store holds of them."""

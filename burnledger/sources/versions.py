@@ -2,15 +2,17 @@
 
 Below the root, ``data`` holds the files of each commit, which has only the partitions it changed; ``manifest`` holds, for
 each commit, the partitions in force with the commit that wrote them; ``head`` holds one small file for each commit, created
-last and only if there is none of that number. So a reader sees a version as a whole or not at all, of two writers that
-start from the same version one fails, and nothing that is being read is ever overwritten.
+last and only if there is none of that number; ``arrived`` holds rows while a commit is made of them. So a reader sees a
+version as a whole or not at all, of two writers that start from the same version one fails, and nothing that is being read
+is ever overwritten.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +100,17 @@ class PartitionedTable:
 
     # ------------------------------------------------------------ writing
 
+    @contextmanager
+    def set_aside(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """Rows kept in files below the root while a commit is made of them, so that what they come from is read once."""
+        name = f"arrived/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.root}/{name}")
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+        finally:
+            files, path = self._path(name)
+            files.delete(path, True)
+
     def part(self) -> Column:
         """Name of a row's partition, safe as a folder's name."""
         names = [F.hex(F.col(k).cast("binary")) if isinstance(self.schema[k].dataType, StringType) else F.col(k).cast("string")

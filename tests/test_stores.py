@@ -65,6 +65,21 @@ def test_a_load_reads_and_writes_the_days_it_touches(spark, loads, tmp_path):
     assert {d for d, n in commits.items() if n == 1} == set(DAYS[:6]) - {DAYS[2]}
 
 
+def test_a_load_evaluates_the_arrived_rows_once(spark, loads, tmp_path):
+    store, seen = DailyStore(spark, str(tmp_path / "cube")), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for load in loads:
+        store.add(load.mapInArrow(counted, load.schema))
+    assert seen.value == loads[0].count() + loads[1].count()
+    assert _rows(store.read()) == _rows(_full(loads[0].union(loads[1])))
+    assert not list((tmp_path / "cube" / "arrived").iterdir())  # what was set aside is gone
+
+
 def test_a_repeated_load_fails_and_changes_nothing(spark, loads, tmp_path):
     store = DailyStore(spark, str(tmp_path / "cube"))
     base = store.table.version()
