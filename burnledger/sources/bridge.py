@@ -21,7 +21,7 @@ from burnledger.operators import drawdown, pricing
 from burnledger.operators.usage import DAY, account_totals, contract_days, daily_cube, grains, measures
 from burnledger.sources.schemas import (
     ACCOUNT_MAPPING, BALANCE_SOURCE, BILLING_TYPE, CONSUMER, CONTRACT, CUSTOMER, KEYS, MARKUP_RATES, ORG,
-    SERVICES, USAGE,
+    QUANTITY, SERVICES, USAGE,
 )
 from burnledger.sources.tables import conform, date_spine
 
@@ -104,11 +104,15 @@ class BridgeSource:
         """One usage row per order line, also those dated after the clock.
 
         Orders meet customers first, on three narrow columns; the lines are
-        then shuffled once, on the order key. Names are attached last, from
+        then shuffled once, on the order key, with their day and their amount
+        instead of what these are made of. Names are attached last, from
         the organisations, so they do not travel through a shuffle.
         """
-        lines = self._table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                                               "l_discount", "l_shipdate")
+        price = (F.col("l_extendedprice").cast(DecimalType(12, 2))
+                 * (F.lit(Decimal(1)) - F.col("l_discount").cast(DecimalType(4, 2))))
+        lines = self._table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                               price.cast(QUANTITY).alias("usage_in_currency"),
+                                               F.col("l_shipdate").cast("date").alias("usage_date"))
         buyers = self._table("customer").select(F.col("c_custkey").alias("o_custkey"),
                                                 F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
         orders = (self._table("orders").select("o_orderkey", "o_custkey").join(buyers, "o_custkey")
@@ -118,16 +122,12 @@ class BridgeSource:
         services = F.array(*[F.struct(F.lit(u).alias("usage_type"), F.lit(r).alias("rating_type"),
                                       F.lit(s).alias("service_type")) for _, u, r, s, _ in SERVICES])
         service = F.element_at(services, F.col("l_linenumber"))
-        price = (F.col("l_extendedprice").cast(DecimalType(12, 2))
-                 * (F.lit(Decimal(1)) - F.col("l_discount").cast(DecimalType(4, 2))))
         return conform(rows.withColumns({
             **self._account_columns("n_nationkey", "c_mktsegment"),
-            "usage_date": F.col("l_shipdate").cast("date"),
             "usage_type": service["usage_type"],
             "rating_type": service["rating_type"],
             "service_type": service["service_type"],
             "usage": F.col("l_quantity"),
-            "usage_in_currency": price,
             "currency": F.lit("USD"),
             "balance_source": F.lit(BALANCE_SOURCE),
             "billing_type": F.lit(BILLING_TYPE),

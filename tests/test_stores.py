@@ -80,6 +80,14 @@ def test_a_load_evaluates_the_arrived_rows_once(spark, loads, tmp_path):
     assert not list((tmp_path / "cube" / "arrived").iterdir())  # what was set aside is gone
 
 
+def test_lines_are_shuffled_with_day_and_amount_only(spark):
+    """The sources of the amount (extended price, discount) stay on the scan's side of the shuffle."""
+    plan = BridgeSource(spark, SF).usage._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line and "l_orderkey" in line)
+    below = plan.splitlines()[plan.splitlines().index(join) + 1]
+    assert "Project" in below and "AS usage_in_currency" in below and "AS usage_date" in below
+
+
 def test_a_repeated_load_fails_and_changes_nothing(spark, loads, tmp_path):
     store = DailyStore(spark, str(tmp_path / "cube"))
     base = store.table.version()
