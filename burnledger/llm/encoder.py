@@ -3,6 +3,9 @@
 The vocabulary's pre-tokenizer never joins characters across a single space between two visible characters: the space
 opens a new pre-token there. A text is therefore cut at these spaces, every distinct piece is encoded once by the
 library, and the ids of a text are the ids of its pieces in order. A piece may hold any other white space.
+
+A new piece that ends in punctuation behind a letter, or holds line breaks between visible characters, is put together
+from the ids of its words, if the vocabulary's pre-tokenizer cuts there too (asked of the library for each mark).
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ _RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S\n]|\n\n|^\n|\n$|^$")  # white space that may melt into one pre-token with its neighbours
 _SPLITTER = "\n"
+# Punctuation that may end a word; not the apostrophe, which opens a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN_END = "\u0250"  # letters below it are letters in every version of Unicode
 
 
 def default_vocabulary() -> str:
@@ -53,31 +59,89 @@ class Encoder:
         self._cache_words = cache_words
         newline = self._ids(_SPLITTER)
         self._newline = newline[0] if len(newline) == 1 else None
+        self._break = newline.tobytes()
+        self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._marks = "".join(m for m in _MARKS if self._newline is not None and self._cuts(f" aé{m}", 3)
+                              and self._cuts(f" aé{m}#", 3) and self._cuts(f"aé#{m}", 2))
+        self._lines = self._newline is not None and all(
+            self._cuts(f"aé{m}\nÉa", 2 + len(m)) and self._cuts(f"aé{m}\nÉa", 3 + len(m)) for m in ("", ".", "1"))
+
+    def _cuts(self, text: str, at: int) -> bool:
+        """Whether the pre-tokenizer cuts this text there."""
+        cut = self._library.pre_tokenizer
+        return cut is not None and any(end == at for _, (_, end) in cut.pre_tokenize_str(text))
 
     def _ids(self, text: str) -> np.ndarray:
         encoded = self._library.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoded.ids, dtype="<u4")
 
+    def _stem(self, line: str) -> str:
+        """The line without the punctuation behind its last letter; the line itself if it has no such end."""
+        stem = line.rstrip(self._marks)
+        return stem if stem and stem[-1] < _LATIN_END and stem[-1].isalpha() else line
+
     def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
-        """Adds the ids of lead + piece; returns new pieces that are too long to be kept. Plain pieces go to the library in one call, a line break keeping them apart."""
+        """Adds the ids of lead + piece; returns new pieces that are too long to be kept."""
         missing = wanted.difference(cache)
-        odd = {p for p in missing if _ODD.search(p)} if self._newline is not None else missing
-        plain = [p for p in missing if p not in odd]
-        cache.update((p, self._ids(lead + p).tobytes()) for p in odd)
-        for at in range(0, len(plain), CALL_PIECES):
-            self._learn_plain(cache, plain[at : at + CALL_PIECES], lead)
+        plain, odd, ends, broken = [], [], [], []  # ends: word and marks; broken: holds line breaks
+        for piece in missing:
+            if self._newline is None:
+                odd.append(piece)
+            elif piece.isalpha():
+                plain.append(piece)
+            elif _ODD.search(piece):
+                odd.append(piece)
+            elif len(piece) > CACHE_CHARS or any([s in piece for s in self._special]):
+                plain.append(piece)
+            elif self._lines and _SPLITTER in piece:
+                broken.append(piece)
+            elif self._stem(piece) != piece:
+                ends.append(piece)
+            else:
+                plain.append(piece)
+        if ends or broken:
+            stems = set(map(self._stem, ends))
+            marks = {piece[len(self._stem(piece)) :] for piece in ends}
+            for piece in broken:
+                first, *later = piece.split(_SPLITTER)
+                stems.add(self._stem(first))
+                marks.add(first[len(self._stem(first)) :])
+                for line in later:
+                    stem = self._stem(line)
+                    marks.add(stem)
+                    marks.add(line[len(stem) :])
+            marks.discard("")
+            self._learn_plain(self._bare, list(marks.difference(self._bare)), "")
+            plain = list(stems.difference(cache).union(plain))
+        self._learn_plain(cache, plain, lead)
+        cache.update([(p, self._ids(lead + p).tobytes()) for p in odd])
+        for piece in ends:
+            stem = self._stem(piece)
+            cache[piece] = cache[stem] + self._bare[piece[len(stem) :]]
+        for piece in broken:
+            first, *later = piece.split(_SPLITTER)
+            parts = [self._made(cache, first), *[self._made(self._bare, line) for line in later]]
+            cache[piece] = self._break.join(parts)
         return [p for p in missing if len(p) > CACHE_CHARS]
 
+    def _made(self, cache: dict[str, bytes], line: str) -> bytes:
+        """Ids of a line from those of its stem and its marks."""
+        stem = self._stem(line)
+        return cache[stem] + self._bare[line[len(stem) :]] if len(stem) < len(line) else cache[line]
+
     def _learn_plain(self, cache: dict[str, bytes], plain: list[str], lead: str) -> None:
-        ids = self._ids(lead + (_SPLITTER + lead).join(plain))
-        ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
-        last = np.cumsum([p.count(_SPLITTER) + 1 for p in plain]) - 1
-        if last[-1] != len(ends) - 1:
-            raise ValueError("the vocabulary joins a line break with a visible character")
-        stops = ends[last]
-        raw, starts = ids.tobytes(), np.append(0, stops[:-1] + 1)
-        cache.update((p, raw[a * ID_BYTES : b * ID_BYTES])
-                     for p, a, b in zip(plain, starts.tolist(), stops.tolist(), strict=True))
+        """Adds pieces that the library has to see whole: many in one call, a line break keeping them apart."""
+        for at in range(0, len(plain), CALL_PIECES):
+            some = plain[at : at + CALL_PIECES]
+            ids = self._ids(lead + (_SPLITTER + lead).join(some))
+            ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
+            last = np.cumsum([p.count(_SPLITTER) + 1 for p in some]) - 1
+            if last[-1] != len(ends) - 1:
+                raise ValueError("the vocabulary joins a line break with a visible character")
+            stops = ends[last]
+            raw, starts = ids.tobytes(), np.append(0, stops[:-1] + 1)
+            cache.update([(p, raw[a * ID_BYTES : b * ID_BYTES])
+                          for p, a, b in zip(some, starts.tolist(), stops.tolist(), strict=True)])
 
     def _trim(self) -> None:
         for cache in (self._bare, self._spaced):

@@ -29,6 +29,33 @@ def test_encoder_equals_the_library(plain, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(t) for t in given]
 
 
+def test_pieces_of_known_words_are_not_encoded_again(plain):
+    """Marks behind a word and line breaks between words cost the library nothing once the words are known."""
+    encoder = Encoder(default_vocabulary())
+    encoder.encode_all(["x wort Änd", "wort", "Änd", "x ... ,"])
+    seen, ids = [], encoder._ids
+    encoder._ids = lambda text: seen.append(text) or ids(text)
+    texts = ["x wort, Änd... wort.\nÄnd,\nwort"]
+    assert encoder.encode_all(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not any("wort" in text or "Änd" in text for text in seen)
+
+
+def test_put_together_pieces_equal_the_library(plain):
+    rng, encoder = random.Random(5), Encoder(default_vocabulary())
+    letters = [*"abZéñ中ы²1٣'’.,#$|<>_-!\"\\", "\n", "\n", " ", " ", "  ", "\t", "<|endoftext|>", "'s", "\u0301", "\u01c5", "\U0001e900"]
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randrange(1, 25)))
+        assert encoder.encode_all([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_a_counter_keeps_few_words():
+    """A worker holds at most 200,000 counts, also while it learns a batch (before: 500,000 and the batch beyond)."""
+    counter = counts.Counter(default_vocabulary())
+    for start in range(0, 240_000, 30_000):
+        counter([f" {i}" for i in range(start, start + 30_000)])
+        assert len(counter._known) <= 200_000
+
+
 def test_differencing_keeps_all_items_and_the_capacity():
     draw = random.Random(4)
     for n in (0, 1, 2, 50, 300):
