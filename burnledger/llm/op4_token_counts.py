@@ -24,7 +24,7 @@ from burnledger.llm import common
 from burnledger.llm.encoder import ID_BYTES, Encoder, default_vocabulary
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000  # pre-tokens whose counts a worker keeps; most of what it meets beyond that comes once
 TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long"
 FEW_LEAVES = 64  # an edit that touches more of them builds the tree anew from its leaves
@@ -44,9 +44,10 @@ class Counter:
         self._known: dict[str, int] = {}
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self._known) > CACHE_WORDS:
-            self._known.clear()
         missing = list(tokens.difference(self._known))
+        if self._known and len(self._known) + len(missing) > CACHE_WORDS:
+            self._known.clear()
+            missing = list(tokens)
         for token, ids in zip(missing, self._encode(missing), strict=True):
             self._known[token] = len(ids) // ID_BYTES
 
@@ -60,7 +61,11 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(vocabulary: str) -> Counter:
-    """One counter per worker process and vocabulary."""
+    """One counter per worker process and vocabulary.
+
+    Batches of trees are large; Arrow's own pools would keep their memory after them, the system's gives it back.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
     return Counter(vocabulary)
 
 
