@@ -10,8 +10,8 @@ their Jaccard similarity reaches the threshold.
   stand out come last, the most frequent at the very end. Light sets that a heavy one may link to are listed as well.
 - The boundary is the size up to which naming subsets costs less than scanning lists.
 
-Named keys with one node only are dropped. A list's members are compared with one leader, a few times with different
-ones; nodes found linked form components, and only list members that are still in different components are paired. Each
+Named keys with one node only are dropped. A list's members are compared with one leader, which then leaves the list, a
+few times; nodes found linked form components, and only list members that are still in different components are paired. Each
 set has a parity sketch: one bit for each of 1,024 classes of hashes, the parity of the set's elements in it; sets of
 over 512 elements have a wide one besides, of two to four bits an element. Two sketches differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in more bits
 than linked sets of these sizes can is left before it is formed. No other candidate is dropped, so components are exact.
@@ -38,10 +38,11 @@ SKETCH_BITS = 20  # counters of the sketch, 4 MB whatever the input's size
 SLICES = 16
 MOST_LIGHT = 12  # the boundary is never above this size
 ROUNDS = 4  # with leaders, at most
-CROSSING = 4  # another round is made while lists hold more open pairs than this for each of their rows
+CROSSING = 4  # another round is made while lists hold more open pairs than this for each row that was listed at first
 PARITIES = 1_024  # bits of a parity sketch
 SEND_BYTES = 1 << 26  # copies of a text in one batch, beyond the first
 SALT_ROWS = 256  # comparisons with one leader that a task takes on at a time
+FILTER_BITS = 25  # of the filter that keeps texts nobody asks for from being shuffled, 4 MB at most whatever the input's size
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 
@@ -131,12 +132,15 @@ def learn_order(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         total = sum(np.frombuffer(x, "<i8") for x in frame["counts"])
         return frame.head(1).assign(counts=[total.tobytes()])[["slice", "some", "counts"]]
 
-    # Sums in three steps, so that no group has more than some hundred parts, even of a million partitions.
+    # Sums in three steps of up to 128 neighbouring parts, so that no group has more of them, even of a million partitions.
     parts = rows.select("text").mapInArrow(count, "slice int, counts binary").withColumn("some", F.spark_partition_id())
-    for groups in (4096, 64, 1):
-        parts = (parts.withColumn("some", F.col("some") % groups).groupBy("slice", "some")
+    for _ in range(3):
+        parts = (parts.withColumn("some", F.shiftright("some", 7)).groupBy("slice", "some")
                  .applyInPandas(add, "slice int, some int, counts binary"))
-    found = {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in parts.collect()}
+    # Beyond two million partitions several sums are left, to be added here.
+    found: dict[int, np.ndarray] = {}
+    for r in parts.collect():
+        found[r["slice"]] = found.get(r["slice"], 0) + np.frombuffer(r["counts"], "<i8")
     if not found:
         return Order(np.zeros(size, np.uint8), 0)
     counts = np.concatenate([found[i] for i in range(SLICES)])
@@ -187,6 +191,7 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
     places: node, doc_id, tie of one document of each node. Each node's text is fetched once and sent to the leaders
     (a) that it is paired with (texts compress, hashes do not); the partners of a leader are split into groups of
     bounded size, each of which gets the leader's text. Within a task rows are streamed in order: only the leader's set is kept.
+    Texts of other documents leave before the shuffle.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     to = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("leader"),
@@ -194,8 +199,8 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
     own = salts.select(F.col("a").alias("node"), F.col("a").alias("leader"),
                        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted = to.union(own).groupBy("node").agg(F.collect_list(F.struct("leader", "salt")).alias("to"))
-    texts = wanted.join(places, "node").select("doc_id", "tie", "node", "to").join(rows, ["doc_id", "tie"]) \
-        .select("node", "to", "text")
+    wanted = wanted.join(places, "node").select("doc_id", "tie", "node", "to")
+    texts = wanted.join(_asked_for(rows, wanted), ["doc_id", "tie"]).select("node", "to", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +238,20 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
     return sent.mapInArrow(compare, "a long, b long")
 
 
+def _asked_for(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id and tie may occur in wanted: those whose hash has its bit set, so none that occurs is left out.
+
+    The bits are broadcast in pieces of 4 KB, at most 2^FILTER_BITS in all. With more documents asked for, more others pass.
+    """
+    bit = F.shiftrightunsigned(F.xxhash64("doc_id", "tie"), 64 - FILTER_BITS)
+    marked = (wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("piece"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")))
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("bit", bit).join(F.broadcast(marked), F.bitmap_bucket_number("bit") == F.col("piece"))
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns))
+
+
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, tie, node, n; tie is a hash of the text) and the components of their nodes (node, root)."""
@@ -266,13 +285,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: s
         common.discard(pairs, found, *([] if roots is None else [roots]))
         return now
 
-    lists, roots, before = lists.withColumn("root", F.col("node")), None, math.inf
+    lists, listed, roots, before = lists.withColumn("root", F.col("node")), lists.count(), None, math.inf
     for step in range(ROUNDS):
         roots = joined(_alike(_with_leaders(lists, step, percent), widest, percent), roots)
-        still = common.stored(_open_lists(lists, roots), spark)
+        still = common.stored(_open_lists(_without_leaders(lists, step, percent), roots), spark)
         common.discard(lists)
         lists, crossing = still, _crossing(still)
-        if crossing <= CROSSING * lists.count() or crossing > 0.9 * before:
+        if crossing <= CROSSING * listed or crossing > 0.9 * before:
             break
         before = crossing
     marked = lists.join(nodes.select("node", "sketch"), "node")
@@ -337,8 +356,8 @@ def _crossing(members: DataFrame) -> float:
     return whole.agg(F.sum("p")).first()[0] or 0.0
 
 
-def _with_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
-    """Each member with the leader of its lists, a for the leader.
+def _led(members: DataFrame, step: int, percent: int) -> DataFrame:
+    """Each list's members beside its leader, a for the leader.
 
     The first leader of a list has the smallest place in its own order, so that it reaches most members; later ones are
     drawn by a hash that changes with the step among members that reach sets of their own size.
@@ -349,10 +368,21 @@ def _with_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
     leaders = (members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "place", "node", "n", "root")).alias("l"))
                .select("key", F.col("l.place").alias("place_a"), F.col("l.node").alias("a"), F.col("l.n").alias("n_a"),
                        F.col("l.root").alias("root_a")))
-    return (members.join(leaders, "key").where((F.col("root") != F.col("root_a")) & _near(percent) & _reach(percent))
+    return members.join(leaders, "key")
+
+
+def _with_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
+    """The pairs of leaders (a) and members of their lists that are in different components and may link."""
+    return (_led(members, step, percent).where((F.col("root") != F.col("root_a")) & _near(percent) & _reach(percent))
             .select("a", F.col("node").alias("b")).distinct())
 
 
+def _without_leaders(members: DataFrame, step: int, percent: int) -> DataFrame:
+    """The lists without their leaders: a leader has met every member of its list, so no pair of theirs is left open."""
+    return _led(members, step, percent).where((F.col("node") != F.col("a")) | (F.col("place") != F.col("place_a"))) \
+        .select(*members.columns)
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.

@@ -409,6 +409,33 @@ def test_jaccard_forms_few_pairs_in_groups_of_near_copies(spark, monkeypatch):
     assert sum(formed) < 5 * len(rows)
 
 
+def test_jaccard_leaves_lists_whose_pairs_have_all_met(spark, monkeypatch):
+    """Lists of two are done after their leader's round; before, their rows were shuffled again with their sketches."""
+    rows = [(2 * k + i, " ".join([f"p{k}_{w}" for w in range(60)] + [f"q{k}_{i}_{w}" for w in range(60)]))
+            for k in range(60) for i in range(2)]
+    left, plain = [], op9_jaccard._crossing
+
+    def counting(members):
+        left.append(members.count())
+        return plain(members)
+
+    monkeypatch.setattr(op9_jaccard, "_crossing", counting)
+    got = op9_jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == _components(rows)
+    assert left == [0]
+
+
+@pytest.mark.parametrize("bits", [3, 25])
+def test_jaccard_shuffles_the_texts_that_are_asked_for(spark, monkeypatch, bits):
+    monkeypatch.setattr(op9_jaccard, "FILTER_BITS", bits)
+    rows = spark.range(-1000, 1000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("tie"), F.lit("x").alias("text"))
+    wanted = rows.where("doc_id % 50 = 0").select("doc_id", "tie")
+    passed = op9_jaccard._asked_for(rows, wanted)
+    assert passed.columns == rows.columns and passed.join(wanted, ["doc_id", "tie"]).count() == 40
+    assert 40 <= passed.count() < (45 if bits == 25 else 2001)
+    assert op9_jaccard._asked_for(rows, wanted.limit(0)).count() == 0
+
+
 def test_jaccard_keeps_one_row_of_each_component(spark, nothing):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(5, long, "a"), (5, long, "b"), (5, long + " more", "c"), (None, long, "d"), (3, long + " and", "e"), (4, "other words", "f"),
