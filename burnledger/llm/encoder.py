@@ -148,6 +148,16 @@ class Encoder:
             if len(cache) > self._cache_words:
                 cache.clear()
 
+    def encode_words(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of each of these strings without white space, behind one space on demand."""
+        self._trim()
+        cache = self._spaced if spaced else self._bare
+        unkept = self._learn(cache, set(words), " " if spaced else "")
+        out = list(map(cache.__getitem__, words))
+        for word in unkept:
+            del cache[word]
+        return out
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text, without the end id; null and empty texts have none. Equal texts are encoded once."""
         self._trim()

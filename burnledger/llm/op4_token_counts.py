@@ -12,6 +12,7 @@ takes such rows, makes the trees of the leaves without cutting or encoding the t
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnledger.llm import common
-from burnledger.llm.encoder import ID_BYTES, Encoder, default_vocabulary
+from burnledger.llm.encoder import CACHE_CHARS, ID_BYTES, Encoder, default_vocabulary, pieces
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
 CACHE_WORDS = 200_000  # pre-tokens whose counts a worker keeps; most of what it meets beyond that comes once
+CACHE_PIECES = 300_000  # pieces whose leaves a worker keeps, and those of a batch
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-\u024f]+")  # one pre-token; these are letters in every version of Unicode
 TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long"
+LEAF_BYTES = 8  # two 32-bit integers
 FEW_LEAVES = 64  # an edit that touches more of them builds the tree anew from its leaves
 
 def _pattern():  # noqa: ANN202
@@ -40,7 +44,7 @@ class Counter:
     """Tokens of pre-tokens, with a bounded cache; a batch's unknown ones are encoded together."""
 
     def __init__(self, vocabulary: str):
-        self._encode = Encoder(vocabulary, cache_words=0).encode_all  # what it has encoded is known here
+        self.encoder = Encoder(vocabulary, cache_words=0)  # what it has encoded is known here
         self._known: dict[str, int] = {}
 
     def learn(self, tokens: set[str]) -> None:
@@ -48,7 +52,12 @@ class Counter:
         if self._known and len(self._known) + len(missing) > CACHE_WORDS:
             self._known.clear()
             missing = list(tokens)
-        for token, ids in zip(missing, self._encode(missing), strict=True):
+        # Pre-tokens hold white space only, or none behind their first character. Words behind a space share library calls.
+        words = [token[1:] for token in missing if token[0] == " " and not token.isspace()]
+        for word, ids in zip(words, self.encoder.encode_words(words, spaced=True), strict=True):
+            self._known[" " + word] = len(ids) // ID_BYTES
+        others = [token for token in missing if token[0] != " " or token.isspace()]
+        for token, ids in zip(others, self.encoder.encode_all(others), strict=True):
             self._known[token] = len(ids) // ID_BYTES
 
     def __call__(self, tokens: list[str]) -> list[int]:
@@ -59,6 +68,63 @@ class Counter:
             return list(map(self._known.__getitem__, tokens))
 
 
+class Cutter:
+    """Leaves of whole texts from those of their pieces (see encoder.pieces); pieces are kept in a bounded cache."""
+
+    def __init__(self, count: Counter):
+        self._count, self._pattern = count, _pattern()
+        self._bare: dict[str, bytes] = {}  # first piece of a text -> its leaves, (characters, tokens) each
+        self._spaced: dict[str, bytes] = {}  # later piece -> leaves of " " + piece
+        self._leaf: dict[tuple[int, int], bytes] = {}  # single leaves, as many as there are lengths of kept words
+
+    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
+        """Adds the leaves of lead + piece; returns new pieces that are too long to be kept."""
+        missing = list(wanted.difference(known))
+        if len(known) + len(missing) > CACHE_PIECES:  # what this batch holds stays
+            held = {p: known[p] for p in wanted if p in known}
+            known.clear()
+            known.update(held)
+        words, others = [], []
+        for piece in missing:
+            (words if _LETTERS.fullmatch(piece) else others).append(piece)
+        leaf, more = self._leaf, len(lead)
+        for piece, ids in zip(words, self._count.encoder.encode_words(words, bool(lead)), strict=True):
+            numbers = len(piece) + more, len(ids) // ID_BYTES
+            one = leaf.get(numbers)
+            if one is None:
+                one = np.array(numbers, np.int32).tobytes()
+                if len(piece) <= CACHE_CHARS:
+                    leaf[numbers] = one
+            known[piece] = one
+        cut = [self._pattern.findall(lead + piece) for piece in others]
+        tokens = [token for part in cut for token in part]
+        raw, at = np.array([list(map(len, tokens)), self._count(tokens)], np.int32).T.tobytes(), 0
+        for piece, part in zip(others, cut, strict=True):
+            end = at + LEAF_BYTES * len(part)
+            known[piece] = raw[at:end]
+            at = end
+        return [p for p in missing if len(p) > CACHE_CHARS]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [pieces(text) if text else None for text in texts]
+        unkept = self._learn(self._bare, {parts[0] for parts in cut if parts}, "")
+        later: set[str] = set()
+        for parts in cut:
+            later.update(parts[1:] if parts else ())
+        unkept_later = self._learn(self._spaced, later, " ")
+        out = [b"".join([self._bare[parts[0]], *map(self._spaced.__getitem__, parts[1:])]) if parts else b"" for parts in cut]
+        for known, some in ((self._bare, unkept), (self._spaced, unkept_later)):
+            for piece in some:
+                del known[piece]
+        return out
+
+
+@lru_cache(maxsize=2)
+def cutter(vocabulary: str) -> Cutter:
+    """One cutter per worker process and vocabulary."""
+    return Cutter(counter(vocabulary))
+
+
 @lru_cache(maxsize=2)
 def counter(vocabulary: str) -> Counter:
     """One counter per worker process and vocabulary.
@@ -193,13 +259,11 @@ def grow(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count, pattern = counter(vocabulary), _pattern()
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        cut = [pattern.findall(t) for t in texts]
-        ends = pa.array(np.cumsum([0, *map(len, cut)]), pa.int32())
-        tokens = [token for part in cut for token in part]
-        columns = [pa.ListArray.from_arrays(ends, pa.array(list(numbers), pa.int32()))
-                   for numbers in (map(len, tokens), count(tokens))]
+        found = cutter(vocabulary)(texts)
+        ends = pa.array(np.cumsum([0, *(len(raw) // LEAF_BYTES for raw in found)]), pa.int32())
+        numbers = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
+        columns = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(numbers[:, k]))) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *columns],
                                           ["doc_id", "text", "chars", "tokens"])
 

@@ -56,6 +56,34 @@ def test_a_counter_keeps_few_words():
         assert len(counter._known) <= 200_000
 
 
+def test_known_pieces_are_not_cut_again(plain, monkeypatch):
+    """Leaves of a text are put together from those of its pieces; before, the pattern ran over every whole text."""
+    cut = counts.Cutter(counts.Counter(default_vocabulary()))
+    cut(["x wort, Änd. it's wort\nÄnd", "wort"])
+
+    class Unused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    cut._pattern = Unused()
+    texts = ["wort it's Änd. wort, wort\nÄnd wort,", "", "x"]
+    for text, raw in zip(texts, cut(texts), strict=True):
+        assert np.frombuffer(raw, np.int32).reshape(-1, 2).sum(0).tolist() == [len(text), len(plain(text))]
+
+
+def test_leaves_equal_those_of_the_pattern(plain, texts, monkeypatch):
+    monkeypatch.setattr(counts, "CACHE_PIECES", 500)
+    rng, cut, pattern = random.Random(6), counts.Cutter(counts.Counter(default_vocabulary())), counts._pattern()
+    letters = [*"abZéñ中ы²1٣'’.,#$|<>_-!\"\\ɏɐ×", "\n", "\n", " ", " ", "  ", "\t", "\x1c", "\xa0", "<|endoftext|>", "'s", "\u0301", "\u01c5", "\U0001e900"]
+    odd = ["".join(rng.choices(letters, k=rng.randrange(0, 25))) for _ in range(2000)]
+    given = [*[t or "" for t in list(texts.values())[:60]], *[t or "" for _, t, _ in ODD], *odd]
+    for at in range(0, len(given), 200):
+        some = given[at : at + 200]
+        for text, raw in zip(some, cut(some), strict=True):
+            tokens = pattern.findall(text)
+            assert np.frombuffer(raw, np.int32).reshape(-1, 2).tolist() == [[len(t), len(plain(t))] for t in tokens], text
+
+
 def test_differencing_keeps_all_items_and_the_capacity():
     draw = random.Random(4)
     for n in (0, 1, 2, 50, 300):
