@@ -83,7 +83,8 @@ class Encoder:
     def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
         """Adds the ids of lead + piece; returns new pieces that are too long to be kept."""
         missing = wanted.difference(cache)
-        plain, odd, ends, broken = [], [], [], []  # ends: word and marks; broken: holds line breaks
+        plain, odd, broken = [], [], []  # broken: holds line breaks
+        ends: dict[str, str] = {}  # word and marks -> word
         for piece in missing:
             if self._newline is None:
                 odd.append(piece)
@@ -95,47 +96,47 @@ class Encoder:
                 plain.append(piece)
             elif self._lines and _SPLITTER in piece:
                 broken.append(piece)
-            elif self._stem(piece) != piece:
-                ends.append(piece)
+            elif len(stem := self._stem(piece)) < len(piece):
+                ends[piece] = stem
             else:
                 plain.append(piece)
+        made: dict[str, list[tuple[str, str]]] = {}  # broken piece -> word and marks of each line
         if ends or broken:
-            stems = set(map(self._stem, ends))
-            marks = {piece[len(self._stem(piece)) :] for piece in ends}
+            stems = set(ends.values())
+            marks = {piece[len(stem) :] for piece, stem in ends.items()}
             for piece in broken:
-                first, *later = piece.split(_SPLITTER)
-                stems.add(self._stem(first))
-                marks.add(first[len(self._stem(first)) :])
-                for line in later:
+                lines = []
+                for line in piece.split(_SPLITTER):
                     stem = self._stem(line)
-                    marks.add(stem)
-                    marks.add(line[len(stem) :])
+                    lines.append((stem, line[len(stem) :]))
+                made[piece] = lines
+                stems.add(lines[0][0])
+                marks.add(lines[0][1])
+                for line in lines[1:]:
+                    marks.update(line)
             marks.discard("")
             self._learn_plain(self._bare, list(marks.difference(self._bare)), "")
             plain = list(stems.difference(cache).union(plain))
         self._learn_plain(cache, plain, lead)
         cache.update([(p, self._ids(lead + p).tobytes()) for p in odd])
-        for piece in ends:
-            stem = self._stem(piece)
-            cache[piece] = cache[stem] + self._bare[piece[len(stem) :]]
-        for piece in broken:
-            first, *later = piece.split(_SPLITTER)
-            parts = [self._made(cache, first), *[self._made(self._bare, line) for line in later]]
+        bare = self._bare
+        for piece, stem in ends.items():
+            cache[piece] = cache[stem] + bare[piece[len(stem) :]]
+        for piece, ((stem, end), *later) in made.items():
+            parts = [cache[stem] + bare[end] if end else cache[stem]]
+            parts += [bare[stem] + bare[end] if end else bare[stem] for stem, end in later]
             cache[piece] = self._break.join(parts)
         return [p for p in missing if len(p) > CACHE_CHARS]
 
-    def _made(self, cache: dict[str, bytes], line: str) -> bytes:
-        """Ids of a line from those of its stem and its marks."""
-        stem = self._stem(line)
-        return cache[stem] + self._bare[line[len(stem) :]] if len(stem) < len(line) else cache[line]
-
     def _learn_plain(self, cache: dict[str, bytes], plain: list[str], lead: str) -> None:
         """Adds pieces that the library has to see whole: many in one call, a line break keeping them apart."""
         for at in range(0, len(plain), CALL_PIECES):
             some = plain[at : at + CALL_PIECES]
-            ids = self._ids(lead + (_SPLITTER + lead).join(some))
+            text = lead + (_SPLITTER + lead).join(some)
+            ids = self._ids(text)
             ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
-            last = np.cumsum([p.count(_SPLITTER) + 1 for p in some]) - 1
+            whole = text.count(_SPLITTER) == len(some) - 1  # no piece has a break of its own
+            last = np.arange(len(some)) if whole else np.cumsum([p.count(_SPLITTER) + 1 for p in some]) - 1
             if last[-1] != len(ends) - 1:
                 raise ValueError("the vocabulary joins a line break with a visible character")
             stops = ends[last]

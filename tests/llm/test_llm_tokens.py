@@ -40,6 +40,16 @@ def test_pieces_of_known_words_are_not_encoded_again(plain):
     assert not any("wort" in text or "Änd" in text for text in seen)
 
 
+def test_a_new_piece_is_parted_once(plain):
+    """Its word and marks are found once for each line; before, up to four times."""
+    encoder = Encoder(default_vocabulary())
+    seen, stem = [], encoder._stem
+    encoder._stem = lambda line: seen.append(line) or stem(line)
+    texts = ["x wort, Änd.\nÖl wort; y! z,\nand"]
+    assert encoder.encode_all(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+    assert sorted(seen) == sorted(["x", "wort,", "Änd.", "Öl", "wort;", "y!", "z,", "and"][1:])
+
+
 def test_put_together_pieces_equal_the_library(plain):
     rng, encoder = random.Random(5), Encoder(default_vocabulary())
     letters = [*"abZéñ中ы²1٣'’.,#$|<>_-!\"\\", "\n", "\n", " ", " ", "  ", "\t", "<|endoftext|>", "'s", "\u0301", "\u01c5", "\U0001e900"]
