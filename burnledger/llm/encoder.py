@@ -30,6 +30,7 @@ _ODD = re.compile(r"[^\S\n]|\n\n|^\n|\n$|^$")  # white space that may melt into
 _SPLITTER = "\n"
 # Punctuation that may end a word; not the apostrophe, which opens a contraction.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACE = "\u0120"  # a space in the tokens of byte-level vocabularies
 _LATIN_END = "\u0250"  # letters below it are letters in every version of Unicode
 
 
@@ -65,12 +66,25 @@ class Encoder:
                               and self._cuts(f" aé{m}#", 3) and self._cuts(f"aé#{m}", 2))
         self._lines = self._newline is not None and all(
             self._cuts(f"aé{m}\nÉa", 2 + len(m)) and self._cuts(f"aé{m}\nÉa", 3 + len(m)) for m in ("", ".", "1"))
+        # A word and marks can hold no special token that has another form.
+        self._plain_ends = not any((s.rstrip(self._marks) or "a").isalpha() for s in self._special)
+        self._opens = self._opening()
 
     def _cuts(self, text: str, at: int) -> bool:
         """Whether the pre-tokenizer cuts this text there."""
         cut = self._library.pre_tokenizer
         return cut is not None and any(end == at for _, (_, end) in cut.pre_tokenize_str(text))
 
+    def _opening(self) -> np.ndarray | None:
+        """Whether each token begins with a space, or None if the pre-tokenizer does not write a space as byte-level ones do."""
+        cut = self._library.pre_tokenizer
+        if cut is None or [part for part, _ in cut.pre_tokenize_str(" a b")] != [_SPACE + "a", _SPACE + "b"]:
+            return None
+        known = self._library.get_vocab(with_added_tokens=True)
+        opens = np.zeros(max(known.values()) + 1, bool)
+        opens[[number for token, number in known.items() if token[0] == _SPACE]] = True
+        return opens
+
     def _ids(self, text: str) -> np.ndarray:
         encoded = self._library.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoded.ids, dtype="<u4")
@@ -80,17 +94,29 @@ class Encoder:
         stem = line.rstrip(self._marks)
         return stem if stem and stem[-1] < _LATIN_END and stem[-1].isalpha() else line
 
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
-        """Adds the ids of lead + piece; returns new pieces that are too long to be kept."""
-        missing = wanted.difference(cache)
+    def _found(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of lead + piece for each of these pieces, in a small table of their own; new ones are kept unless too long."""
+        found = dict(zip(wanted, map(cache.get, wanted), strict=True))
+        missing = [piece for piece, ids in found.items() if ids is None]
+        if missing:
+            self._learn(cache, missing, lead)
+            found.update(zip(missing, map(cache.__getitem__, missing), strict=True))
+            for piece in missing:
+                if len(piece) > CACHE_CHARS:
+                    del cache[piece]
+        return found
+
+    def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
+        """Adds the ids of lead + piece."""
         plain, odd, broken = [], [], []  # broken: holds line breaks
         ends: dict[str, str] = {}  # word and marks -> word
         for piece in missing:
-            if self._newline is None:
-                odd.append(piece)
-            elif piece.isalpha():
+            if piece.isalpha() and self._newline is not None:
                 plain.append(piece)
-            elif _ODD.search(piece):
+            elif (self._plain_ends and len(piece) <= CACHE_CHARS and _SPLITTER not in piece
+                  and (stem := self._stem(piece)).isalpha() and len(stem) < len(piece)):
+                ends[piece] = stem
+            elif self._newline is None or _ODD.search(piece):
                 odd.append(piece)
             elif len(piece) > CACHE_CHARS or any([s in piece for s in self._special]):
                 plain.append(piece)
@@ -126,12 +152,21 @@ class Encoder:
             parts = [cache[stem] + bare[end] if end else cache[stem]]
             parts += [bare[stem] + bare[end] if end else bare[stem] for stem, end in later]
             cache[piece] = self._break.join(parts)
-        return [p for p in missing if len(p) > CACHE_CHARS]
 
     def _learn_plain(self, cache: dict[str, bytes], plain: list[str], lead: str) -> None:
-        """Adds pieces that the library has to see whole: many in one call, a line break keeping them apart."""
+        """Adds pieces that the library has to see whole: many in one call.
+
+        Behind a space the first token of a piece is the only one that begins with that space; other pieces are kept apart
+        by line breaks.
+        """
         for at in range(0, len(plain), CALL_PIECES):
             some = plain[at : at + CALL_PIECES]
+            if lead == " " and self._opens is not None:
+                ids = self._ids(lead + lead.join(some))
+                starts = np.flatnonzero(self._opens[ids])
+                if len(starts) == len(some) and starts[0] == 0:
+                    self._put(cache, some, ids, starts, np.append(starts[1:], len(ids)))
+                    continue
             text = lead + (_SPLITTER + lead).join(some)
             ids = self._ids(text)
             ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
@@ -140,9 +175,13 @@ class Encoder:
             if last[-1] != len(ends) - 1:
                 raise ValueError("the vocabulary joins a line break with a visible character")
             stops = ends[last]
-            raw, starts = ids.tobytes(), np.append(0, stops[:-1] + 1)
-            cache.update([(p, raw[a * ID_BYTES : b * ID_BYTES])
-                          for p, a, b in zip(some, starts.tolist(), stops.tolist(), strict=True)])
+            self._put(cache, some, ids, np.append(0, stops[:-1] + 1), stops)
+
+    @staticmethod
+    def _put(cache: dict[str, bytes], some: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        raw = ids.tobytes()
+        cache.update([(p, raw[a:b]) for p, a, b in zip(
+            some, (starts * ID_BYTES).tolist(), (stops * ID_BYTES).tolist(), strict=True)])
 
     def _trim(self) -> None:
         for cache in (self._bare, self._spaced):
@@ -152,29 +191,23 @@ class Encoder:
     def encode_words(self, words: list[str], spaced: bool) -> list[bytes]:
         """Ids of each of these strings without white space, behind one space on demand."""
         self._trim()
-        cache = self._spaced if spaced else self._bare
-        unkept = self._learn(cache, set(words), " " if spaced else "")
-        out = list(map(cache.__getitem__, words))
-        for word in unkept:
-            del cache[word]
-        return out
+        found = self._found(self._spaced if spaced else self._bare, set(words), " " if spaced else "")
+        return list(map(found.__getitem__, words))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text, without the end id; null and empty texts have none. Equal texts are encoded once."""
         self._trim()
         cut = {text: pieces(text) for text in texts if text}
-        long_bare = self._learn(self._bare, {parts[0] for parts in cut.values()}, "")
+        first = {text: parts.pop(0) for text, parts in cut.items()}
         later: set[str] = set()
         for parts in cut.values():
-            later.update(parts[1:])
-        long_spaced = self._learn(self._spaced, later, " ")
+            later.update(parts)
+        bare = self._found(self._bare, set(first.values()), "")
+        spaced = self._found(self._spaced, later, " ").__getitem__
         done = {None: b"", "": b""}
         for text, parts in cut.items():
-            first = self._bare[parts[0]]
-            done[text] = first + b"".join(map(self._spaced.__getitem__, parts[1:])) if len(parts) > 1 else first
-        for cache, pieces_ in ((self._bare, long_bare), (self._spaced, long_spaced)):
-            for piece in pieces_:
-                del cache[piece]
+            opening = bare[first[text]]
+            done[text] = opening + b"".join(map(spaced, parts)) if parts else opening
         return [done[text] for text in texts]
 
 

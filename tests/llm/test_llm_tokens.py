@@ -50,6 +50,15 @@ def test_a_new_piece_is_parted_once(plain):
     assert sorted(seen) == sorted(["x", "wort,", "Änd.", "Öl", "wort;", "y!", "z,", "and"][1:])
 
 
+def test_words_behind_spaces_share_library_calls_without_breaks(plain):
+    encoder = Encoder(default_vocabulary())
+    seen, ids = [], encoder._ids
+    encoder._ids = lambda text: seen.append(text) or ids(text)
+    text = "x wort Änd 12a Ġ ĠĊ 中文 a.b <|endoftext|> y<|endoftext|>z q"
+    assert encoder.encode_all([text]) == [np.array(plain(text), "<u4").tobytes()]
+    assert not any("\n" in s for s in seen)
+
+
 def test_put_together_pieces_equal_the_library(plain):
     rng, encoder = random.Random(5), Encoder(default_vocabulary())
     letters = [*"abZéñ中ы²1٣'’.,#$|<>_-!\"\\", "\n", "\n", " ", " ", "  ", "\t", "<|endoftext|>", "'s", "\u0301", "\u01c5", "\U0001e900"]
