@@ -22,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnledger.llm import common
-from burnledger.llm.encoder import CACHE_CHARS, ID_BYTES, Encoder, default_vocabulary, pieces
+from burnledger.llm.encoder import _MARKS, CACHE_CHARS, ID_BYTES, Encoder, default_vocabulary, pieces
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
 CACHE_WORDS = 200_000  # pre-tokens whose counts a worker keeps; most of what it meets beyond that comes once
 CACHE_PIECES = 300_000  # pieces whose leaves a worker keeps, and those of a batch
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-\u024f]+")  # one pre-token; these are letters in every version of Unicode
+# Lines of one such word with punctuation behind it (no apostrophe, which opens a contraction), and their pre-tokens.
+_SIMPLE = re.compile(r"(?:{0}{1}*\n)*{0}{1}*".format(_LETTERS.pattern, _MARK := "[" + re.escape(_MARKS) + "]"))
+_SIMPLE_TOKENS = re.compile(f" ?{_LETTERS.pattern}|{_MARK}+|\n")
 TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long"
 LEAF_BYTES = 8  # two 32-bit integers
@@ -77,13 +80,21 @@ class Cutter:
         self._spaced: dict[str, bytes] = {}  # later piece -> leaves of " " + piece
         self._leaf: dict[tuple[int, int], bytes] = {}  # single leaves, as many as there are lengths of kept words
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
-        """Adds the leaves of lead + piece; returns new pieces that are too long to be kept."""
-        missing = list(wanted.difference(known))
-        if len(known) + len(missing) > CACHE_PIECES:  # what this batch holds stays
-            held = {p: known[p] for p in wanted if p in known}
-            known.clear()
-            known.update(held)
+    def _found(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
+        """The leaves of lead + piece for each of these pieces, in a small table of their own; new ones are kept unless too long."""
+        found = dict(zip(wanted, map(known.get, wanted), strict=True))
+        missing = [piece for piece, leaves in found.items() if leaves is None]
+        if missing:
+            if len(known) + len(missing) > CACHE_PIECES:  # what this batch holds stays
+                known.clear()
+                known.update([(p, leaves) for p, leaves in found.items() if leaves is not None])
+            found.update(self._learn(missing, lead))
+            known.update([(p, found[p]) for p in missing if len(p) <= CACHE_CHARS])
+        return found
+
+    def _learn(self, missing: list[str], lead: str) -> dict[str, bytes]:
+        """The leaves of lead + piece."""
+        known: dict[str, bytes] = {}
         words, others = [], []
         for piece in missing:
             (words if _LETTERS.fullmatch(piece) else others).append(piece)
@@ -96,27 +107,25 @@ class Cutter:
                 if len(piece) <= CACHE_CHARS:
                     leaf[numbers] = one
             known[piece] = one
-        cut = [self._pattern.findall(lead + piece) for piece in others]
+        cut = [(_SIMPLE_TOKENS if _SIMPLE.fullmatch(piece) else self._pattern).findall(lead + piece) for piece in others]
         tokens = [token for part in cut for token in part]
         raw, at = np.array([list(map(len, tokens)), self._count(tokens)], np.int32).T.tobytes(), 0
         for piece, part in zip(others, cut, strict=True):
             end = at + LEAF_BYTES * len(part)
             known[piece] = raw[at:end]
             at = end
-        return [p for p in missing if len(p) > CACHE_CHARS]
+        return known
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(text) if text else None for text in texts]
-        unkept = self._learn(self._bare, {parts[0] for parts in cut if parts}, "")
+        first = [parts.pop(0) if parts else None for parts in cut]
         later: set[str] = set()
         for parts in cut:
-            later.update(parts[1:] if parts else ())
-        unkept_later = self._learn(self._spaced, later, " ")
-        out = [b"".join([self._bare[parts[0]], *map(self._spaced.__getitem__, parts[1:])]) if parts else b"" for parts in cut]
-        for known, some in ((self._bare, unkept), (self._spaced, unkept_later)):
-            for piece in some:
-                del known[piece]
-        return out
+            later.update(parts or ())
+        bare = self._found(self._bare, {piece for piece in first if piece is not None}, "")
+        spaced = self._found(self._spaced, later, " ").__getitem__
+        return [bare[piece] + b"".join(map(spaced, parts)) if piece is not None else b""
+                for piece, parts in zip(first, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -59,6 +59,22 @@ def test_words_behind_spaces_share_library_calls_without_breaks(plain):
     assert not any("\n" in s for s in seen)
 
 
+def test_cutter_parts_words_and_marks_without_the_vocabulary_pattern(plain):
+    cutter = counts.Cutter(counts.Counter(default_vocabulary()))
+    pattern, seen = cutter._pattern, []
+
+    class Seen:
+        def findall(self, text):
+            seen.append(text)
+            return pattern.findall(text)
+
+    cutter._pattern = Seen()
+    texts = ["x wort, Änd...\nÖl wort!? y\nz,\nand it's 12.\n\nq don't. a.b"]
+    numbers = [np.frombuffer(raw, np.int32).reshape(-1, 2).tolist() for raw in cutter(texts)]
+    assert numbers == [[[len(token), len(plain(token))] for token in pattern.findall(text)] for text in texts]
+    assert sorted(seen) == sorted([" it's", " 12.\n\nq", " don't.", " a.b"])
+
+
 def test_put_together_pieces_equal_the_library(plain):
     rng, encoder = random.Random(5), Encoder(default_vocabulary())
     letters = [*"abZéñ中ы²1٣'’.,#$|<>_-!\"\\", "\n", "\n", " ", " ", "  ", "\t", "<|endoftext|>", "'s", "\u0301", "\u01c5", "\U0001e900"]
