@@ -18,7 +18,7 @@ import numpy as np
 
 END_ID = 0  # closes every document
 ID_BYTES = 4  # ids travel as unsigned little-endian 32-bit integers
-CACHE_WORDS = 1_000_000  # pieces kept by a worker; beyond that it starts afresh
+CACHE_WORDS = 400_000  # pieces kept by a worker in two halves; when the newer one is full, the older one goes
 CALL_PIECES = 500  # new pieces that go to the library together; longer texts take it longer a piece
 CACHE_CHARS = 64  # longer pieces are encoded each time and not kept
 
@@ -57,6 +57,7 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         self._bare: dict[str, bytes] = {}  # first piece of a text -> its ids
         self._spaced: dict[str, bytes] = {}  # later piece -> ids of " " + piece
+        self._before: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by lead: pieces kept before the newer half
         self._cache_words = cache_words
         newline = self._ids(_SPLITTER)
         self._newline = newline[0] if len(newline) == 1 else None
@@ -98,6 +99,12 @@ class Encoder:
         """The ids of lead + piece for each of these pieces, in a small table of their own; new ones are kept unless too long."""
         found = dict(zip(wanted, map(cache.get, wanted), strict=True))
         missing = [piece for piece, ids in found.items() if ids is None]
+        before = self._before[lead]
+        if missing and before:
+            again = {piece: before[piece] for piece in missing if piece in before}
+            cache.update(again)
+            found.update(again)
+            missing = [piece for piece in missing if piece not in again]
         if missing:
             self._learn(cache, missing, lead)
             found.update(zip(missing, map(cache.__getitem__, missing), strict=True))
@@ -184,9 +191,12 @@ class Encoder:
             some, (starts * ID_BYTES).tolist(), (stops * ID_BYTES).tolist(), strict=True)])
 
     def _trim(self) -> None:
-        for cache in (self._bare, self._spaced):
-            if len(cache) > self._cache_words:
-                cache.clear()
+        """Pieces that do not come again while half as many new ones as a worker keeps are met are forgotten."""
+        most = self._cache_words // 2
+        if len(self._bare) > most:
+            self._before[""], self._bare = self._bare if most else {}, {}
+        if len(self._spaced) > most:
+            self._before[" "], self._spaced = self._spaced if most else {}, {}
 
     def encode_words(self, words: list[str], spaced: bool) -> list[bytes]:
         """Ids of each of these strings without white space, behind one space on demand."""

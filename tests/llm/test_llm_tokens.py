@@ -50,6 +50,19 @@ def test_a_new_piece_is_parted_once(plain):
     assert sorted(seen) == sorted(["x", "wort,", "Änd.", "Öl", "wort;", "y!", "z,", "and"][1:])
 
 
+def test_a_full_cache_keeps_what_comes_again(plain):
+    """Bounded by its two halves and a batch; a piece of every batch goes to the library once, before again after each clearing."""
+    encoder, often = Encoder(default_vocabulary(), cache_words=200), []
+    learn = encoder._learn_plain
+    encoder._learn_plain = lambda cache, plain, lead: often.extend(p for p in plain if p == "often") or learn(cache, plain, lead)
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(3000)]
+    for at in range(0, len(names), 50):
+        text = " ".join(["x often", *names[at : at + 50]])
+        assert encoder.encode_all([text]) == [np.array(plain(text), "<u4").tobytes()]
+        assert len(encoder._spaced) + len(encoder._before[" "]) <= 200 + 2 * 60
+    assert often == ["often"]
+
+
 def test_words_behind_spaces_share_library_calls_without_breaks(plain):
     encoder = Encoder(default_vocabulary())
     seen, ids = [], encoder._ids
