@@ -12,15 +12,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0  # closes every document
 ID_BYTES = 4  # ids travel as unsigned little-endian 32-bit integers
 CACHE_WORDS = 400_000  # pieces kept by a worker in two halves; when the newer one is full, the older one goes
 CALL_PIECES = 500  # new pieces that go to the library together; longer texts take it longer a piece
 CACHE_CHARS = 64  # longer pieces are encoded each time and not kept
+SLICE_BYTES = 6 << 20  # UTF-8 bytes of the texts that a task encodes at a time, or one text
 
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")  # a space beside common white space
 # White space other than space, tab and line ends.
@@ -42,9 +46,63 @@ def default_vocabulary() -> str:
 
 def pieces(text: str) -> list[str]:
     """The text cut at single spaces between visible characters; joined by one space it is the text again."""
-    loose = (text[0] == " " or text[-1] == " " or any(pair in text for pair in _PAIRS)
-             or any(c in text for c in _RARE))
-    return _CUT.split(text) if loose else text.split(" ")
+    return _CUT.split(text) if _loose(text) else text.split(" ")
+
+
+def _loose(text: str) -> bool:
+    """Whether a space of the text may stand beside other white space."""
+    return (text[0] == " " or text[-1] == " " or any(pair in text for pair in _PAIRS)
+            or any(c in text for c in _RARE))
+
+
+def put_together(texts: list[str], bare: Callable[[list[str]], list[bytes]],
+                 spaced: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """What bare gives for the first piece of each text and spaced for the later ones, one after another.
+
+    No text may be empty. Both are given distinct pieces; Arrow cuts the texts, tells equal pieces and joins.
+    """
+    out = [b""] * len(texts)
+    loose = list(map(_loose, texts))
+    for kind in (False, True):
+        rows = [i for i, x in enumerate(loose) if x is kind]
+        if not rows:
+            continue
+        some = [texts[i] for i in rows]
+        if kind:
+            cut = pa.array(list(map(_CUT.split, some)), pa.list_(pa.large_string()))
+        else:
+            cut = pc.split_pattern(pa.array(some, pa.large_string()), " ")
+        bounds, parts = cut.offsets.to_numpy(), cut.values
+        first, is_later = bounds[:-1], np.ones(len(parts), bool)
+        is_later[first] = False
+        opening = parts.take(pa.array(first)).dictionary_encode()
+        later = parts.filter(pa.array(is_later)).dictionary_encode()
+        values = bare(_strings(opening.dictionary))
+        places = np.empty(len(parts), np.int64)
+        places[first] = opening.indices.to_numpy()
+        places[is_later] = later.indices.to_numpy() + len(values)
+        values += spaced(_strings(later.dictionary))
+        joined = pa.array(values, pa.large_binary()).take(pa.array(places))
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(parts) + 1)[bounds].tolist()
+        raw = memoryview(joined.buffers()[2] or b"")
+        for i, a, b in zip(rows, ends, ends[1:], strict=False):
+            out[i] = raw[a:b].tobytes()
+    return out
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch whose texts hold at most SLICE_BYTES; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 class Encoder:
@@ -95,52 +153,57 @@ class Encoder:
         stem = line.rstrip(self._marks)
         return stem if stem and stem[-1] < _LATIN_END and stem[-1].isalpha() else line
 
-    def _found(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """The ids of lead + piece for each of these pieces, in a small table of their own; new ones are kept unless too long."""
-        found = dict(zip(wanted, map(cache.get, wanted), strict=True))
-        missing = [piece for piece, ids in found.items() if ids is None]
-        before = self._before[lead]
-        if missing and before:
-            again = {piece: before[piece] for piece in missing if piece in before}
-            cache.update(again)
-            found.update(again)
-            missing = [piece for piece in missing if piece not in again]
-        if missing:
-            self._learn(cache, missing, lead)
-            found.update(zip(missing, map(cache.__getitem__, missing), strict=True))
-            for piece in missing:
-                if len(piece) > CACHE_CHARS:
-                    del cache[piece]
+    def _found(self, cache: dict[str, bytes], wanted: list[str], lead: str) -> list[bytes]:
+        """The ids of lead + piece for each of these pieces, none given twice; new ones are kept unless too long."""
+        found = list(map(cache.get, wanted))
+        if None not in found:
+            return found
+        before, missing = self._before[lead], []
+        for at in [i for i, ids in enumerate(found) if ids is None]:
+            piece = wanted[at]
+            ids = before.get(piece)
+            if ids is None:
+                missing.append(at)
+            else:
+                cache[piece] = found[at] = ids
+        self._learn(cache, [wanted[at] for at in missing], lead)
+        for at in missing:
+            piece = wanted[at]
+            found[at] = cache[piece]
+            if len(piece) > CACHE_CHARS:
+                del cache[piece]
         return found
 
     def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
         """Adds the ids of lead + piece."""
         plain, odd, broken = [], [], []  # broken: holds line breaks
-        ends: dict[str, str] = {}  # word and marks -> word
+        ends: list[tuple[str, str, str]] = []  # piece, its word and its marks
+        plain_ends, stem_of = self._plain_ends, self._stem
+        if self._newline is not None:
+            plain = [piece for piece in missing if piece.isalpha()]
+            missing = [piece for piece in missing if not piece.isalpha()]
         for piece in missing:
-            if piece.isalpha() and self._newline is not None:
-                plain.append(piece)
-            elif (self._plain_ends and len(piece) <= CACHE_CHARS and _SPLITTER not in piece
-                  and (stem := self._stem(piece)).isalpha() and len(stem) < len(piece)):
-                ends[piece] = stem
+            if (plain_ends and _SPLITTER not in piece and len(piece) <= CACHE_CHARS
+                    and (stem := stem_of(piece)).isalpha() and len(stem) < len(piece)):
+                ends.append((piece, stem, piece[len(stem) :]))
             elif self._newline is None or _ODD.search(piece):
                 odd.append(piece)
             elif len(piece) > CACHE_CHARS or any([s in piece for s in self._special]):
                 plain.append(piece)
             elif self._lines and _SPLITTER in piece:
                 broken.append(piece)
-            elif len(stem := self._stem(piece)) < len(piece):
-                ends[piece] = stem
+            elif len(stem := stem_of(piece)) < len(piece):
+                ends.append((piece, stem, piece[len(stem) :]))
             else:
                 plain.append(piece)
         made: dict[str, list[tuple[str, str]]] = {}  # broken piece -> word and marks of each line
         if ends or broken:
-            stems = set(ends.values())
-            marks = {piece[len(stem) :] for piece, stem in ends.items()}
+            stems = {stem for _, stem, _ in ends}
+            marks = {mark for _, _, mark in ends}
             for piece in broken:
                 lines = []
                 for line in piece.split(_SPLITTER):
-                    stem = self._stem(line)
+                    stem = stem_of(line)
                     lines.append((stem, line[len(stem) :]))
                 made[piece] = lines
                 stems.add(lines[0][0])
@@ -153,8 +216,7 @@ class Encoder:
         self._learn_plain(cache, plain, lead)
         cache.update([(p, self._ids(lead + p).tobytes()) for p in odd])
         bare = self._bare
-        for piece, stem in ends.items():
-            cache[piece] = cache[stem] + bare[piece[len(stem) :]]
+        cache.update([(piece, cache[stem] + bare[mark]) for piece, stem, mark in ends])
         for piece, ((stem, end), *later) in made.items():
             parts = [cache[stem] + bare[end] if end else cache[stem]]
             parts += [bare[stem] + bare[end] if end else bare[stem] for stem, end in later]
@@ -201,27 +263,25 @@ class Encoder:
     def encode_words(self, words: list[str], spaced: bool) -> list[bytes]:
         """Ids of each of these strings without white space, behind one space on demand."""
         self._trim()
-        found = self._found(self._spaced if spaced else self._bare, set(words), " " if spaced else "")
-        return list(map(found.__getitem__, words))
+        wanted = list(dict.fromkeys(words))
+        ids = self._spaced_ids(wanted) if spaced else self._bare_ids(wanted)
+        return ids if len(wanted) == len(words) else list(map(dict(zip(wanted, ids, strict=True)).__getitem__, words))
+
+    def _bare_ids(self, wanted: list[str]) -> list[bytes]:
+        return self._found(self._bare, wanted, "")
+
+    def _spaced_ids(self, wanted: list[str]) -> list[bytes]:
+        return self._found(self._spaced, wanted, " ")
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text, without the end id; null and empty texts have none. Equal texts are encoded once."""
         self._trim()
-        cut = {text: pieces(text) for text in texts if text}
-        first = {text: parts.pop(0) for text, parts in cut.items()}
-        later: set[str] = set()
-        for parts in cut.values():
-            later.update(parts)
-        bare = self._found(self._bare, set(first.values()), "")
-        spaced = self._found(self._spaced, later, " ").__getitem__
-        done = {None: b"", "": b""}
-        for text, parts in cut.items():
-            opening = bare[first[text]]
-            done[text] = opening + b"".join(map(spaced, parts)) if parts else opening
-        return [done[text] for text in texts]
+        new = list(dict.fromkeys(filter(None, texts)))
+        done = dict(zip(new, put_together(new, self._bare_ids, self._spaced_ids), strict=True))
+        return [done[text] if text else b"" for text in texts]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(path)
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder per worker process, vocabulary and size of the cache."""
+    return Encoder(path, cache_words)

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnledger.llm import common
-from burnledger.llm.encoder import END_ID, ID_BYTES, default_vocabulary, encoder
+from burnledger.llm.encoder import END_ID, ID_BYTES, default_vocabulary, encoder, slices
 
 MAGIC = b"TPLN1\n"
 BLOCK_IDS = 65_536
 SHARD_IDS = 2_000_000  # a shard is closed at the first document end beyond this many ids
 LEVEL = 3
+CACHE_WORDS = 800_000  # pieces that a worker keeps, about 150 MB; shards of ids leave room for more than packing keeps
 SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, doc_ids array<long>, payload binary"
 RESULT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -104,7 +105,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encode, names, raw, lengths, held = encoder(vocabulary).encode_all, [], [], [], 0
+        encode, names, raw, lengths, held = encoder(vocabulary, CACHE_WORDS).encode_all, [], [], [], 0
 
         def close() -> pa.RecordBatch:
             payload = pack_shard(np.frombuffer(b"".join(raw), "<u4"), lengths, bit_planes=bit_planes)
@@ -114,8 +115,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
             ], ["part", "shard", "n_docs", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                piece = batch.slice(at, common.SLICE_ROWS)
+            for piece in slices(batch, 1):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
                     names.append(doc_id)
                     raw.append(ids + end)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from burnledger.llm import common
-from burnledger.llm.encoder import END_ID, ID_BYTES, default_vocabulary, encoder
+from burnledger.llm.encoder import END_ID, ID_BYTES, default_vocabulary, encoder, slices
 
 CAPACITY = 1024
 BLOCK_DOCS = 256  # documents that are packed together; merging partitions takes time with the square of it
@@ -129,8 +129,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                piece = batch.slice(at, common.SLICE_ROWS)
+            for piece in slices(batch, 1):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
                     names.append(doc_id)
                     raw.append(ids + end)

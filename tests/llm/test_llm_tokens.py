@@ -72,6 +72,30 @@ def test_words_behind_spaces_share_library_calls_without_breaks(plain):
     assert not any("\n" in s for s in seen)
 
 
+def test_texts_are_cut_and_joined_without_a_step_a_piece(plain, monkeypatch):
+    """Python meets the distinct pieces only; before, it cut every text and looked up every piece of it."""
+    monkeypatch.setattr("burnledger.llm.encoder.pieces", None)
+    encoder, wanted = Encoder(default_vocabulary()), []
+    found = encoder._found
+    encoder._found = lambda cache, pieces, lead: wanted.extend(pieces) or found(cache, pieces, lead)
+    texts = ["x wort " * 500 + "end", "x  y x wort", "x", None, "", "wort x Ünd"]
+    assert encoder.encode_all(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+    assert len(wanted) < 20
+
+
+def test_slices_hold_few_bytes():
+    import pyarrow as pa
+
+    from burnledger.llm import encoder
+
+    texts = [None, "", "é" * encoder.SLICE_BYTES, "a", *["b" * (encoder.SLICE_BYTES // 2)] * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(1)
+    parts = [part.column(0).to_pylist() for part in encoder.slices(batch, 0)]
+    assert [text for part in parts for text in part] == texts[1:]
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= encoder.SLICE_BYTES for part in parts)
+    assert list(map(len, parts)) == [1, 1, 2, 2, 2] and list(encoder.slices(batch.slice(0, 0), 0)) == []
+
+
 def test_cutter_parts_words_and_marks_without_the_vocabulary_pattern(plain):
     cutter = counts.Cutter(counts.Counter(default_vocabulary()))
     pattern, seen = cutter._pattern, []
