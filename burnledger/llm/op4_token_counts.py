@@ -13,6 +13,7 @@ takes such rows, makes the trees of the leaves without cutting or encoding the t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnledger.llm import common
-from burnledger.llm.encoder import _MARKS, CACHE_CHARS, ID_BYTES, Encoder, default_vocabulary, pieces
+from burnledger.llm.encoder import _MARKS, CACHE_CHARS, ID_BYTES, Encoder, default_vocabulary, put_together, slices
 
 LOOK_AHEAD = 2  # characters behind its end that a pre-token's cut may depend on
 CACHE_WORDS = 200_000  # pre-tokens whose counts a worker keeps; most of what it meets beyond that comes once
@@ -80,16 +81,18 @@ class Cutter:
         self._spaced: dict[str, bytes] = {}  # later piece -> leaves of " " + piece
         self._leaf: dict[tuple[int, int], bytes] = {}  # single leaves, as many as there are lengths of kept words
 
-    def _found(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """The leaves of lead + piece for each of these pieces, in a small table of their own; new ones are kept unless too long."""
-        found = dict(zip(wanted, map(known.get, wanted), strict=True))
-        missing = [piece for piece, leaves in found.items() if leaves is None]
+    def _found(self, known: dict[str, bytes], wanted: list[str], lead: str) -> list[bytes]:
+        """The leaves of lead + piece for each of these pieces, none given twice; new ones are kept unless too long."""
+        found = list(map(known.get, wanted))
+        missing = [at for at, leaves in enumerate(found) if leaves is None]
         if missing:
             if len(known) + len(missing) > CACHE_PIECES:  # what this batch holds stays
                 known.clear()
-                known.update([(p, leaves) for p, leaves in found.items() if leaves is not None])
-            found.update(self._learn(missing, lead))
-            known.update([(p, found[p]) for p in missing if len(p) <= CACHE_CHARS])
+                known.update([(p, leaves) for p, leaves in zip(wanted, found, strict=True) if leaves is not None])
+            new = self._learn([wanted[at] for at in missing], lead)
+            for at in missing:
+                found[at] = new[wanted[at]]
+            known.update([(p, leaves) for p, leaves in new.items() if len(p) <= CACHE_CHARS])
         return found
 
     def _learn(self, missing: list[str], lead: str) -> dict[str, bytes]:
@@ -117,15 +120,9 @@ class Cutter:
         return known
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(text) if text else None for text in texts]
-        first = [parts.pop(0) if parts else None for parts in cut]
-        later: set[str] = set()
-        for parts in cut:
-            later.update(parts or ())
-        bare = self._found(self._bare, {piece for piece in first if piece is not None}, "")
-        spaced = self._found(self._spaced, later, " ").__getitem__
-        return [bare[piece] + b"".join(map(spaced, parts)) if piece is not None else b""
-                for piece, parts in zip(first, cut, strict=True)]
+        found = iter(put_together([text for text in texts if text], lambda wanted: self._found(self._bare, wanted, ""),
+                                  lambda wanted: self._found(self._spaced, wanted, " ")))
+        return [next(found) if text else b"" for text in texts]
 
 
 @lru_cache(maxsize=2)
@@ -172,13 +169,13 @@ class Tree:
             size *= 2
         # Node i has children 2i and 2i + 1; leaves start at `size`. Spare leaves are zero. A leaf may hold several pre-tokens.
         self.size = size
-        self.chars, self.tokens = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.int64)
+        sums = np.zeros((2, 2 * size), np.int64)
+        self.chars, self.tokens = sums
         self.chars[size : size + self._leaves], self.tokens[size : size + self._leaves] = chars, tokens
         level = size
         while level > 1:
             half = level // 2
-            for sums in (self.chars, self.tokens):
-                sums[half:level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
+            np.add(sums[:, level : 2 * level : 2], sums[:, level + 1 : 2 * level : 2], out=sums[:, half:level])
             level = half
 
     @property
@@ -267,7 +264,7 @@ def grow(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     """
     vocabulary = vocabulary or default_vocabulary()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         found = cutter(vocabulary)(texts)
         ends = pa.array(np.cumsum([0, *(len(raw) // LEAF_BYTES for raw in found)]), pa.int32())
@@ -276,7 +273,11 @@ def grow(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *columns],
                                           ["doc_id", "text", "chars", "tokens"])
 
-    return common.per_slice(common.keyed(docs, id_col, text_col), run, TREE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(leaves, slices(batch, 1))
+
+    return common.keyed(docs, id_col, text_col).mapInArrow(run, TREE)
 
 
 def edited(trees: DataFrame, edits: Column, vocabulary: str | None = None, keep: bool = True) -> DataFrame:
@@ -318,9 +319,14 @@ def edited(trees: DataFrame, edits: Column, vocabulary: str | None = None, keep:
 
 def count_edits(docs: DataFrame, edits: Column, vocabulary: str | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """Grows and stores the trees of all documents, then applies the edits (a column over doc_id and text) to them."""
-    trees = common.stored(grow(docs, vocabulary, id_col, text_col), docs.sparkSession)
-    return edited(trees, edits, vocabulary, keep=False)
+    """Grows and stores the trees of all documents, then applies the edits (a column over doc_id and text) to them.
+
+    The counts are stored too: rows with texts and leaves are long, so both steps run here, in small batches.
+    """
+    spark = docs.sparkSession
+    with common.small_batches(spark):
+        trees = common.stored(grow(docs, vocabulary, id_col, text_col), spark)
+        return common.stored(edited(trees, edits, vocabulary, keep=False), spark)
 
 
 def sample_edits(text_col: str = "text") -> Column:

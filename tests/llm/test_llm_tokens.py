@@ -255,6 +255,16 @@ def test_edited_counts_equal_full_counts(spark, plain, odd, nothing):
     assert tree.recoded < 40 and tree.total == len(plain(tree.text))
 
 
+def test_steps_with_trees_run_in_small_batches(spark, documents, monkeypatch):
+    """An executor and its workers hold no whole partition at a time, and the session's setting is left as it was."""
+    key, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", [], counts.common.stored
+    before = spark.conf.get(key)
+    monkeypatch.setattr(counts.common, "stored", lambda df, spark: seen.append(int(spark.conf.get(key))) or stored(df, spark))
+    rows = counts.count_edits(documents, counts.sample_edits())
+    assert seen == [counts.common.BATCH_ROWS] * 2 and spark.conf.get(key) == before
+    assert "MapInArrow" not in rows._jdf.queryExecution().toString() and rows.count() == documents.count()
+
+
 def _edited_text(text, edits):
     for e in edits:
         a = min(max(e.start, 0), len(text))
